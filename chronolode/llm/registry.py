@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from chronolode.llm import line_dedup, simhash
+from chronolode.llm import decontaminate, line_dedup, packing, sharding, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_packing": packing.op7_packing,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
 }
