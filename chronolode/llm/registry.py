@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from chronolode.llm import decontaminate, line_dedup, packing, sharding, simhash
+from chronolode.llm import decontaminate, html_text, line_dedup, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 SQL = {
