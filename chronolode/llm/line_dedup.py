@@ -16,16 +16,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.llm.tables import read
+from chronolode.session import cut_lineage
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NULL_ID = -(2**63)
 
 
-def line_key(line: Column) -> Column:
-    """The line without outer ASCII white space, A-Z lower-cased. Pure ASCII takes the faster ``lower``."""
-    bare = F.btrim(line, F.lit(STRIPPED))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
+def key_text(bare: Column) -> Column:
+    """Text that is equal for two stripped lines just if they are equal after lower-casing A-Z alone.
+
+    ASCII lines: ``lower``. Others: ``lower``, which also changes letters beyond A-Z, and after a line break the
+    line's non-ASCII characters as they were, which tell such lines apart. The Kelvin sign is the one other character whose
+    lower case is ASCII, so lines with it go through ``translate``, which is exact but slow.
+    """
+    return (
+        F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare))
+        .when(F.contains(bare, F.lit("\u212a")), F.translate(bare, UPPER, UPPER.lower()))
+        .otherwise(F.concat(F.lower(bare), F.lit("\n"), F.regexp_replace(bare, r"[\x00-\x7f]+", "")))
+    )
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,10 +43,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """did, row_hash, pos, key of the lines that are long enough."""
+    """did, row_hash, pos, key of the lines that are long enough.
+
+    The key can't be null and says so: a join would otherwise make it twice, once to look for nulls.
+    """
     rows = _lines(docs, id_col, text_col).select("did", "row_hash", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars).withColumn("norm", line_key(F.col("line")))
-    return rows.where(F.char_length("norm") >= min_chars).select("did", "row_hash", "pos", F.unhex(F.md5("norm")).alias("key"))
+    rows = rows.where(F.char_length("line") >= min_chars).withColumn("bare", F.btrim("line", F.lit(STRIPPED)))
+    return rows.where(F.char_length("bare") >= min_chars).select("did", "row_hash", "pos", F.coalesce(F.unhex(F.md5(key_text(F.col("bare")))), F.lit(b"")).alias("key"))
 
 
 def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -55,7 +67,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep`` lists (word, bits) for the 64-line words in which some line is dropped; bit b of word w is
     line 64 w + b. An absent word keeps all its lines, so a bitmap grows with the drops, not the text.
     """
-    repeated = repeated_keys(docs, id_col, text_col, min_chars, min_docs)
+    # written out, so that the join below has an exchange of its own on both sides and a hot key can be split
+    repeated = cut_lineage(repeated_keys(docs, id_col, text_col, min_chars, min_docs))
     lost = _hashed(docs, id_col, text_col, min_chars).join(repeated, "key").where("did <> keeper").select("did", "row_hash", "pos")
     words = lost.distinct().groupBy("did", "row_hash", (F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("gone"), F.count(F.lit(1)).alias("n")
