@@ -13,7 +13,11 @@ Defined results: a null or empty text is the end id alone. Null or repeated doc_
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chronolode.llm.tables import read
 
-WINDOW, UNIT, BLOCK_IDS, CACHE = 2048, 32, 1 << 22, 400_000
+WINDOW, UNIT, BLOCK_IDS, CHUNKS, WORDS = 2048, 32, 1 << 22, 250_000, 250_000
 
 
 @cache
@@ -123,11 +127,17 @@ def pack_lengths(lengths: list[int], window: int = WINDOW, unit: int = UNIT) ->
     return out
 
 
+#: A lower-cased chunk that is one word of letters, composed and lower-case as they stand, and ASCII signs after it.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-^`{-~]*)")
+
+
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a table of chunks between blanks.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by tables of chunks between blanks and of words.
 
-    The tokenizer never joins text across white space, so a text's ids are its chunks' ids in a row; chunks not
-    yet in the table are encoded together. The table is emptied when it grows past ``CACHE`` chunks.
+    The tokenizer never joins text across white space, or letters with signs, so a text's ids are its chunks' ids in a
+    row and a plain chunk's those of its word and its signs. New plain words are encoded together, by the same
+    vocabulary without the normalising that they do not need; all else goes through the whole tokenizer.
+    A table past its bound becomes the old one, from which what is met again is taken over.
     """
 
     def __init__(self, path: str) -> None:
@@ -136,23 +146,69 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def learn_words(self, new: list[str]) -> None:
+        """Puts the ids of plain words in the table; ``words`` of one encoding tell where each word's ids end."""
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            e = self.bare.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right")).tolist()
+            self.words.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+
+    def learn(self, new: set[str]) -> None:
+        again = new.intersection(self.old_chunks)
+        self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again)))
+        plain, other = [], []
+        for c in new.difference(again):
+            m = PLAIN.fullmatch(c.lower())
+            if m:
+                plain.append((c, *m.groups()))
+            else:
+                other.append(c)
+        signs = {s for _, _, s in plain if s}.difference(self.chunks)
+        for i in range(0, len(other := other + list(signs)), 4096):
+            part = other[i : i + 4096]
+            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+        unknown = {w for _, w, _ in plain}.difference(self.words)
+        again = unknown.intersection(self.old_words)
+        self.words.update(zip(again, map(self.old_words.__getitem__, again)))
+        self.learn_words(list(unknown.difference(again)))
+        chunks, words = self.chunks, self.words
+        for c, w, s in plain:
+            chunks[c] = words[w] + chunks[s] if s else words[w]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            if len(self.known) > CACHE:
-                self.known = {}
-            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            new = list(set().union(*parts).difference(self.known))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for c, e in zip(part, self.model.encode_batch(part, add_special_tokens=False)):
-                    self.known[c] = np.array(e.ids, "<u4").tobytes()
-            get = self.known.__getitem__
+        for at in range(0, len(texts), 1024):
+            if len(self.chunks) > CHUNKS:
+                self.chunks, self.old_chunks = {}, self.chunks
+            if len(self.words) > WORDS:
+                self.words, self.old_words = {}, self.words
+            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 1024]]
+            self.learn(set().union(*parts).difference(self.chunks))
+            get = self.chunks.__getitem__
             for p in parts:
                 yield b"".join(map(get, p))
 
 
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """The worker's tokenizer for ``path``; with its tables it lasts as long as the worker, over all its tasks."""
+    kept = sys.modules.setdefault("_chronolode_worker", types.ModuleType("_chronolode_worker")).__dict__
+    if path not in kept:
+        kept[path] = ChunkTokenizer(path)
+    return kept[path]
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset: one row a piece.
 
@@ -163,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, first = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        tokenizer, first = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
@@ -187,8 +243,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
                     held.append((doc_id, ids + end))
@@ -203,8 +259,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def op7_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    import public_tokenizers
+def packed_pieces(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """``pack_documents`` with each piece's ids as their CRC-32."""
+    if tokenizer_path is None:
+        import public_tokenizers
 
-    pieces = pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = pack_documents(docs, tokenizer_path)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents", "doc_id", "text"))
