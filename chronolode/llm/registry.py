@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from chronolode.llm import decontaminate, html_text, line_dedup, packing, quality, sharding, simhash, toxicity
+from chronolode.llm import ann, decontaminate, html_text, line_dedup, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_nearest_neighbours": ann.op4_nearest_neighbours,
+    "op5_warc": warc.op5_warc,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
     "op8_decontamination": decontaminate.op8_decontamination,
