@@ -13,6 +13,7 @@ Defined results: a null or empty text is the end id alone. Null or repeated doc_
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chronolode.llm.tables import read
 
-WINDOW, UNIT, BLOCK_IDS, CHUNKS, WORDS = 2048, 32, 1 << 22, 250_000, 250_000
+WINDOW, UNIT, BLOCK_IDS, CHUNKS, WORDS = 2048, 32, 1 << 22, 400_000, 400_000
 
 
 @cache
@@ -157,9 +158,9 @@ class ChunkTokenizer:
         self.old_words: dict[str, bytes] = {}
 
     def learn_words(self, new: list[str]) -> None:
-        """Puts the ids of plain words in the table; ``words`` of one encoding tell where each word's ids end."""
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+        """Puts the ids of plain words in the table; ``word_ids`` of one encoding tell where each word's ids end."""
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
             e = self.bare.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right")).tolist()
@@ -242,18 +243,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col
             if pending:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
-                    held.append((doc_id, ids + end))
-                    size += len(ids) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield from flush()
-                        held, size = [], 0
-        if held:
-            yield from flush()
+        gc.disable()  # the tables are large and hold no cycles
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    part = batch.slice(at, 1024)
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
+                        held.append((doc_id, ids + end))
+                        size += len(ids) // 4 + 1
+                        if size >= BLOCK_IDS:
+                            yield from flush()
+                            held, size = [], 0
+            if held:
+                yield from flush()
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
