@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chronolode.llm.tables import read
 
-WINDOW, UNIT, BLOCK_IDS, CHUNKS, WORDS = 2048, 32, 1 << 22, 400_000, 400_000
+WINDOW, UNIT, BLOCK_IDS, TABLE = 2048, 32, 1 << 22, 600_000
 
 
 @cache
@@ -133,12 +133,12 @@ PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-^`{-~]*)")
 
 
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by tables of chunks between blanks and of words.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a table of chunks between blanks.
 
     The tokenizer never joins text across white space, or letters with signs, so a text's ids are its chunks' ids in a
     row and a plain chunk's those of its word and its signs. New plain words are encoded together, by the same
     vocabulary without the normalising that they do not need; all else goes through the whole tokenizer.
-    A table past its bound becomes the old one, from which what is met again is taken over.
+    The table past its bound becomes the old one, from which what is met again is taken over.
     """
 
     def __init__(self, path: str) -> None:
@@ -152,10 +152,8 @@ class ChunkTokenizer:
         split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}}
         self.bare = Tokenizer.from_str(json.dumps(bare))
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def learn_words(self, new: list[str]) -> None:
         """Puts the ids of plain words in the table; ``word_ids`` of one encoding tell where each word's ids end."""
@@ -164,40 +162,40 @@ class ChunkTokenizer:
             e = self.bare.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right")).tolist()
-            self.words.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+
+    def take_over(self, new: set[str]) -> set[str]:
+        """Moves what the old table has of ``new`` to the table and returns the rest."""
+        again = new.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        return new.difference(again)
 
     def learn(self, new: set[str]) -> None:
-        again = new.intersection(self.old_chunks)
-        self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again)))
-        plain, other = [], []
-        for c in new.difference(again):
+        known = self.known
+        words, made, other = set(), [], []
+        for c in self.take_over(new):
             m = PLAIN.fullmatch(c.lower())
-            if m:
-                plain.append((c, *m.groups()))
-            else:
+            if not m:
                 other.append(c)
-        signs = {s for _, _, s in plain if s}.difference(self.chunks)
+            elif c == m[1]:
+                words.add(c)
+            else:
+                made.append((c, *m.groups()))
+        signs = {s for _, _, s in made}.difference(known)
         for i in range(0, len(other := other + list(signs)), 4096):
             part = other[i : i + 4096]
             for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
-        unknown = {w for _, w, _ in plain}.difference(self.words)
-        again = unknown.intersection(self.old_words)
-        self.words.update(zip(again, map(self.old_words.__getitem__, again)))
-        self.learn_words(list(unknown.difference(again)))
-        chunks, words = self.chunks, self.words
-        for c, w, s in plain:
-            chunks[c] = words[w] + chunks[s] if s else words[w]
+                known[c] = np.array(e.ids, "<u4").tobytes()
+        self.learn_words(list(words | self.take_over({w for _, w, _ in made}.difference(known, words))))
+        known.update([(c, known[w] + known[s]) for c, w, s in made])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 1024):
-            if len(self.chunks) > CHUNKS:
-                self.chunks, self.old_chunks = {}, self.chunks
-            if len(self.words) > WORDS:
-                self.words, self.old_words = {}, self.words
-            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 1024]]
-            self.learn(set().union(*parts).difference(self.chunks))
-            get = self.chunks.__getitem__
+        for at in range(0, len(texts), 2048):
+            if len(self.known) > TABLE:
+                self.known, self.old = {"": b""}, self.known
+            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 2048]]
+            self.learn(set().union(*parts).difference(self.known))
+            get = self.known.__getitem__
             for p in parts:
                 yield b"".join(map(get, p))
 
@@ -246,8 +244,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col
         gc.disable()  # the tables are large and hold no cycles
         try:
             for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, len(batch), 2048):
+                    part = batch.slice(at, 2048)
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.ids(texts)):
                         held.append((doc_id, ids + end))
