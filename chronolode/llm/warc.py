@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
@@ -32,7 +33,7 @@ from chronolode.session import cut_lineage, shared_path
 
 ARCHIVE_BYTES, READ_BYTES, DATE = 64 << 20, 1 << 18, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, VERSION, VERSION_LINE = b"\x1f\x8b\x08", b"WARC/1.", re.compile(rb"WARC/1\.\d+")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -97,8 +98,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     head, found, _ = data.partition(b"\r\n\r\n")
     if not found:
         raise Damaged("header without end")
+    version, *lines = head.split(b"\r\n")
+    if not VERSION_LINE.fullmatch(version):
+        raise Damaged("no version line")
     fields: dict[str, str] = {}
-    for line in head.split(b"\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
