@@ -142,7 +142,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "item_id", "n_shingles", "n_found"]
             for batch in batches:
-                hits = [(d, *h) for d, t in zip(batch.column(0), batch.column(1)) for h in sent.value.found(t.as_py() or "") for d in [d.as_py()]]
+                hits = [(d.as_py(), *h) for d, t in zip(batch.column(0), batch.column(1)) for h in sent.value.found(t.as_py() or "")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*hits) if hits else [()] * 4)], names=names)
 
         found = rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_found long")
