@@ -195,7 +195,7 @@ def chosen_features(rows: DataFrame, model: np.ndarray) -> list[str]:
     return [r["f"] for r in top.collect()]
 
 
-def fit_logistic(rows: list[list[int]], y: np.ndarray, width: int, penalty: float = 0.02, steps: int = 400) -> np.ndarray:
+def fit_logistic(rows: list[list[int]], y: np.ndarray, width: int, penalty: float = 0.005, steps: int = 600) -> np.ndarray:
     """Weights and, last, the intercept of a ridge logistic regression on sets of features, by accelerated descent."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.fromiter((f for r in rows for f in r), np.int64, len(at))
