@@ -26,7 +26,8 @@ from chronolode.llm.tables import read
 from chronolode.plans.graph import connected_components
 from chronolode.session import cut_lineage
 
-WORDS, RADIUS, BANDS, ROWS = 4, 44, 20, 3  # near-copy grouping: 64-bit words of a fingerprint, bits, blocking keys
+#: Near-copy grouping: 64-bit words of a fingerprint, radii taken in turn, blocking keys, and the exact similarity of a link.
+WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56), 20, 3, 0.8
 CHUNK = 2048  # rows of a bucket that one side of a task holds, on average
 
 
@@ -139,13 +140,21 @@ def over_radius(planes: np.ndarray, moved: np.ndarray, radius: int, passed: np.n
     return passed
 
 
-def links_within(groups: np.ndarray, prints: np.ndarray, radius: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links_within(groups: np.ndarray, prints: np.ndarray, *radii: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that join the linked rows of each run of equal ``groups`` (a spanning set, not all pairs).
 
-    ``prints``: rows by 64-bit words. ``sides``: only rows of unlike sides need comparing, where given.
+    ``prints``: rows by 64-bit words. Of several ascending ``radii`` each joins what the ones before left apart, so nearer
+    pairs are taken first.
     """
+    label, left, right = np.arange(len(groups)), [], []
+    for radius in radii:
+        label = _join_within(groups, prints, radius, label, left, right)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _join_within(groups: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray, left: list[int], right: list[int]) -> np.ndarray:
+    """Adds the pairs of one radius to ``left`` and ``right`` and returns the labels they leave."""
     n = len(groups)
-    label, left, right = np.arange(n), [], []
     live = np.arange(n)
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -166,8 +175,6 @@ def links_within(groups: np.ndarray, prints: np.ndarray, radius: int, sides: np.
             break
         a, b = live[:-d], live[d:]
         want = (groups[a] == groups[b]) & (label[a] != label[b])
-        if sides is not None:
-            want &= sides[a] != sides[b]
         if want.any():
             mask = np.zeros(planes.shape[1] * 64, np.uint8)
             mask[: len(want)] = want
@@ -189,11 +196,11 @@ def links_within(groups: np.ndarray, prints: np.ndarray, radius: int, sides: np.
                     while (label[label] != label).any():
                         label = label[label]
         d += 1
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return label
 
 
-def bucket_links(buckets: DataFrame, words: int, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """src, dst: links within ``radius`` between rows of one bucket.
+def bucket_links(buckets: DataFrame, words: int, radii: tuple[int, ...], chunk: int = CHUNK) -> DataFrame:
+    """src, dst: links within the last of ``radii`` between rows of one bucket, nearer ones first.
 
     ``buckets``: key (long), node (long), fp0.. . Buckets of one row drop out. A bucket of over ``chunk``
     rows is dealt by hash into parts, and each unordered pair of parts becomes a group for one task.
@@ -218,7 +225,7 @@ def bucket_links(buckets: DataFrame, words: int, radius: int, chunk: int = CHUNK
             node = table.column("node").to_numpy()
             new = np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
             fps = np.stack([table.column(c).to_numpy() for c in prints], axis=1)
-            a, b = links_within(np.cumsum(new), fps, radius)
+            a, b = links_within(np.cumsum(new), fps, *radii)
             return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["src", "dst"])
 
         for batch in batches:
@@ -258,7 +265,7 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
     """doc_id, fp0, component_id: groups of documents whose fingerprints link at 3 or fewer differing bits, exactly."""
     made = cut_lineage(fingerprints(docs, size, 1, id_col, text_col))
     distinct = cut_lineage(made.groupBy("fp0").agg(F.min("doc_id").alias("first_id")))
-    groups = connected_components(bucket_links(band_buckets(distinct), 1, 3))
+    groups = connected_components(bucket_links(band_buckets(distinct), 1, (3,)))
     rooted = distinct.join(groups, distinct.fp0 == groups.node, "left").select("fp0", "first_id", F.coalesce("component", "fp0").alias("root"))
     least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = rooted.join(least, "root").select("fp0", "component_id")
@@ -284,11 +291,28 @@ def blocking_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return keys.view(np.int64)
 
 
-def near_copies(docs: DataFrame, size: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: documents grouped whose texts are equal or of similarity 0.8 or more in ``size``-word shingles.
+def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The rows (src, dst) of ``pairs`` whose texts (node, text) share that much of their distinct shingles, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.unique(shingle_hashes(t.as_py() or b"", size)) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+    return joined.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: documents grouped whose texts are equal or share ``similarity`` of their ``size``-word shingles.
 
-    Similarity shows as differing bits of a 256-bit fingerprint: at 0.8, texts differ in 15 % of the bits, 39; the radius of
-    44 leaves room for the spread. Documents meet in blocks by minima of their shingle hashes. Equal texts are one
+    Similarity shows as differing bits of a 256-bit fingerprint: at 0.8, texts differ in 15 % of the bits, 39 on average; the
+    last radius of 56 is three standard deviations further. Documents meet in blocks by minima of their shingle hashes. A
+    block gives a spanning set of near pairs, the nearest first, and these are then compared exactly. Equal texts are one
     node, so copies cost one row. Rows with a null id are left out.
     """
 
@@ -313,7 +337,13 @@ def near_copies(docs: DataFrame, size: int = 5, radius: int = RADIUS, id_col: st
     texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "keys"))))
     placed = texts.select("node", F.posexplode("keys").alias("band", "key"), *fps)
     buckets = placed.select(F.xxhash64("band", "key").alias("key"), "node", *fps)
-    groups = connected_components(bucket_links(buckets, WORDS, radius))
+    near = bucket_links(buckets, WORDS, radii)
+    near = cut_lineage(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    nodes = cut_lineage(near.select(F.col("src").alias("doc_id")).union(near.select("dst")).distinct())
+    # an id with several texts is one document; its least text stands for it
+    bodies = rows.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+    bodies = cut_lineage(bodies)
+    groups = connected_components(alike(near, bodies, size, similarity))
     named = texts.select("t0", "t1", "node").join(groups, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "t0", "t1").join(named, ["t0", "t1"]).select("doc_id", "component_id")
 
