@@ -63,7 +63,7 @@ def test_large_bucket_is_dealt_in_chunks(spark):
     rng = random.Random(4)
     rows = [(7, i, rng.getrandbits(20)) for i in range(300)] + [(8, 900, 1), (9, 901, 1)]
     df = spark.createDataFrame(rows, "key long, node long, fp0 long")
-    links = op.bucket_links(df, 1, 2, chunk=40).collect()
+    links = op.bucket_links(df, 1, (1, 2), chunk=40).collect()
     want = groups([r[2] for r in rows[:300]], lambda a, b: (a ^ b).bit_count() <= 2)
     pairs = {frozenset((r.src, r.dst)) for r in links}
     assert groups(list(range(300)), lambda i, j: frozenset((i, j)) in pairs) == want and all(r.src < 900 for r in links)
