@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolode.operators import changes, coupling, overview, people
 from chronolode.plans.ingest import build_model
 from chronolode.plans.model import RepoModel
+from chronolode.schema import RAW_COMMITS, RAW_ENTRIES
 from chronolode.session import shared_path
 from chronolode.sources.git import default_branch, read_git, read_working_tree
-from chronolode.sources.mailmap import mailmap_frame
+from chronolode.sources.mailmap import read_mailmap
+from chronolode.sources.store import VersionedTable
 
 TABLES = ("commits", "files", "file_changes", "file_metrics", "file_coupling")
 
@@ -71,6 +73,7 @@ class Engine:
         self.spark, self.model, self.repo, self.fixed_now = spark, model, repo, now_ms
         self.status = IndexStatus("ready" if model else "not_started")
         self.tip: str | None = None
+        self.landing: tuple[VersionedTable, VersionedTable] | None = None
         self.requests: dict[str, Callable[..., Any]] = {
             "get_hotspots": self.get_hotspots, "get_temporal_coupling": self.get_temporal_coupling, "get_file_coupling": self.get_file_coupling,
             "get_coupling_clusters": self.get_coupling_clusters, "get_file_commit_history": self.get_file_commit_history, "get_file_authors": self.get_file_authors,
@@ -143,27 +146,43 @@ class Engine:
     def get_index_status(self) -> dict[str, Any]:
         return self.status.as_dict()
 
-    def refresh_index(self, mailmap: list[str] | None = None) -> dict[str, Any]:
+    def refresh_index(self) -> dict[str, Any]:
         """Rebuilds the index from the repository and replaces the old one."""
+        self.landing = None
+        return self._build()
+
+    def update_index(self) -> dict[str, Any]:
+        """Takes in the commits since the last build; the same index as a rebuild, and 0 commits where there are none.
+
+        Only new commits are read from git; they are appended to the landing tables, and the index follows from these.
+        """
+        if self.landing is None or self.tip is None:
+            return self.refresh_index()
+        if default_branch(self.repo) == self.tip:
+            return {"status": "ready", "filesIndexed": 0, "commitsProcessed": 0, "durationMs": 0, "errorMessage": None}
+        return self._build()
+
+    def _build(self) -> dict[str, Any]:
         self.status.begin(self.now())
         began = time.time()
         try:
-            commits, entries = read_git(self.spark, self.repo)
-            people_map = mailmap_frame(self.spark, mailmap) if mailmap else None
-            model = build_model(commits, entries, read_working_tree(self.spark, self.repo), self.now(), people_map)
-            self.model, self.tip = store_model(model, shared_path(self.spark, "index")), default_branch(self.repo)
+            if self.landing is None:
+                root, stop = shared_path(self.spark, "landing"), None
+                landing = VersionedTable(self.spark, f"{root}/commits", RAW_COMMITS), VersionedTable(self.spark, f"{root}/entries", RAW_ENTRIES)
+            else:
+                landing, stop = self.landing, self.tip
+            tip = default_branch(self.repo)
+            before = landing[0].read().count()
+            commits, entries = read_git(self.spark, self.repo, stop)
+            # a commit that was read before changes nothing, however often it comes
+            commits = landing[0].append_new(commits, "hash")
+            entries = landing[1].append_new(entries, "hash", "path", "status")
+            tree = read_working_tree(self.spark, self.repo)
+            model = build_model(commits, entries, tree, self.now(), read_mailmap(self.spark, tree))
+            self.model, self.tip, self.landing = store_model(model, shared_path(self.spark, "index")), tip, landing
         except Exception as e:
             self.status.fail(str(e))
             return {"status": "error", "filesIndexed": 0, "commitsProcessed": 0, "durationMs": int(1000 * (time.time() - began)), "errorMessage": str(e)}
         self.status.finish(self.now())
-        counts = self.model.file_metrics.count(), self.model.commits.count()
-        return {"status": "ready", "filesIndexed": counts[0], "commitsProcessed": counts[1], "durationMs": int(1000 * (time.time() - began)), "errorMessage": None}
-
-    def update_index(self) -> dict[str, Any]:
-        """Takes in the commits since the last build; the same index as a rebuild, and 0 commits where there are none."""
-        if self.model is None or self.tip is None:
-            return self.refresh_index()
-        fresh = read_git(self.spark, self.repo, stop=self.tip)[0].count()
-        if not fresh:
-            return {"status": "ready", "filesIndexed": 0, "commitsProcessed": 0, "durationMs": 0, "errorMessage": None}
-        return self.refresh_index() | {"commitsProcessed": fresh}
+        files, total = self.model.file_metrics.count(), self.model.commits.count()
+        return {"status": "ready", "filesIndexed": files, "commitsProcessed": total - before, "durationMs": int(1000 * (time.time() - began)), "errorMessage": None}

@@ -10,7 +10,7 @@ from chronolode.operators import changes, coupling, overview, people
 from chronolode.plans.coupling import build_coupling
 from chronolode.plans.renames import resolve_renames
 from chronolode.session import cut_lineage, shared_path
-from chronolode.sources import starschema
+from chronolode.sources import starschema, store
 from chronolode.sources.mailmap import mailmap_frame, resolve_identities
 from chronolode.sources.starschema import MAX_PATHS, NOW_MS, model
 from chronolode.streaming.incremental import IncrementalIndex
@@ -145,7 +145,48 @@ def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.coupling()
 
 
+def q_upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics with those of every third file measured anew."""
+    metrics = starschema.file_metrics(spark, sf_dir).drop("analyzed_at")
+    return store.upsert_replace(metrics, metrics.where("file_id % 3 = 0").withColumn("loc", F.col("loc") + 1), "file_id")
+
+
+def q_upsert_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes by file, those of odd commits added to those of even ones."""
+    parts = [starschema.file_changes(spark, sf_dir).where(f"commit_id % 2 = {k}").groupBy("file_id").agg(F.count(F.lit(1)).alias("n")) for k in (0, 1)]
+    return store.upsert_add(parts[0], parts[1], ["file_id"], ["n"])
+
+
+def q_append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits up to one, then all of them: each once."""
+    commits = starschema.commits(spark, sf_dir).select("commit_id", "hash")
+    return store.append_new(commits.where("commit_id < 1000"), commits.union(commits), "hash")
+
+
+def q_delete_and_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without those of XML, and .py renamed."""
+    files = starschema.files(spark, sf_dir)
+    kept = store.delete_keys(files, files.where(F.col("path").endswith(".xml")).select("file_id"))
+    python = kept.where(F.col("path").endswith(".py")).select(F.col("path").alias("old"), F.concat("path", F.lit("i")).alias("new"))
+    return store.update_key(kept, "path", python)
+
+
+def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.lookup(starschema.commits(spark, sf_dir), "hash", [f"c{k:010d}" for k in range(0, 600, 3)]).select("commit_id", "hash", "author_email")
+
+
+def q_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top authors as JSON text, a row each."""
+    return overview.summary_top_authors(model(spark, sf_dir)).select(F.to_json(F.struct("name", "email", "commits")).alias("json"))
+
+
 QUERIES = {
+    "upsert_replace": q_upsert_replace,
+    "upsert_add": q_upsert_add,
+    "append_new": q_append_new,
+    "delete_and_rename": q_delete_and_rename,
+    "lookup": q_lookup,
+    "to_json": q_to_json,
     "hotspots": lambda s, d: changes.hotspots(model(s, d), NOW_MS),
     "hotspots_since_ext_path": lambda s, d: changes.hotspots(model(s, d), NOW_MS, top_n=30, since_ms=SINCE_MS, extension=".java", path_filter="SRC/%"),
     "churn": lambda s, d: changes.churn(model(s, d)),
@@ -379,4 +420,12 @@ walk(ord, path, now, since, hop) AS (SELECT DISTINCT ord, path, path, ord, 0 FRO
     AND r.ord = (SELECT min(x.ord) FROM renames x WHERE x.old = w.now AND x.ord >= w.since) WHERE w.hop < 20)
 SELECT ord, path, status, (SELECT arg_max(now, hop) FROM walk w WHERE w.ord = kept.ord AND w.path = kept.path) AS final_path FROM kept""",
 }
+SQL["upsert_replace"] = BASE + "dummy AS (SELECT 1) SELECT * REPLACE (CAST(loc + CASE WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS loc) FROM file_metrics"
+SQL["upsert_add"] = BASE + "dummy AS (SELECT 1) SELECT file_id, count(*)::BIGINT AS n FROM file_changes GROUP BY file_id"
+SQL["append_new"] = BASE + "dummy AS (SELECT 1) SELECT commit_id, hash FROM commits"
+SQL["delete_and_rename"] = BASE + "dummy AS (SELECT 1) SELECT file_id, CASE WHEN path LIKE '%.py' THEN path || 'i' ELSE path END AS path FROM files WHERE path NOT LIKE '%.xml'"
+SQL["lookup"] = BASE + "dummy AS (SELECT 1) SELECT commit_id, hash, author_email FROM commits WHERE commit_id < 600 AND commit_id % 3 = 0"
+SQL["to_json"] = BASE + """dummy AS (SELECT 1)
+SELECT CAST(to_json(struct_pack(name := max(author_name), email := author_email, commits := CAST(count(*) AS INTEGER))) AS VARCHAR) AS json
+FROM commits GROUP BY author_email ORDER BY count(*) DESC, author_email LIMIT 5"""
 SQL["incremental_equals_full"] = SQL["coupling_build"]

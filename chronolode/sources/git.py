@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronolode.schema import RAW_COMMITS, RAW_ENTRIES
@@ -29,6 +29,16 @@ def default_branch(repo: str) -> str | None:
     return None
 
 
+def working_paths(repo: str) -> Iterator[str]:
+    """Regular files below ``repo``, those of ``.git`` aside. Spark's own file listing leaves out names with a leading dot or dash below."""
+    for folder, names, found in os.walk(repo):
+        names[:] = [n for n in names if n != ".git"]
+        for name in found:
+            path = os.path.join(folder, name)
+            if os.path.isfile(path) and not os.path.islink(path):
+                yield os.path.relpath(path, repo)
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, hashes: list[str]) -> None:
         self.first, self.hashes = first, hashes
@@ -40,6 +50,10 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """The commits, oldest first, in equal ranges, so that each task diffs its own."""
+        if self.table == "tree":
+            paths = sorted(working_paths(self.repo))
+            size = max(1, -(-len(paths) // SPLITS))
+            return [_Range(i, paths[i : i + size]) for i in range(0, len(paths), size)] or [_Range(0, [])]
         tip = default_branch(self.repo)
         if tip is None:
             return [_Range(0, [])]
@@ -49,6 +63,11 @@ class _Reader(DataSourceReader):
         return [_Range(past + i, hashes[i : i + size]) for i in range(0, len(hashes), size)] or [_Range(0, [])]
 
     def read(self, partition: Any) -> Iterator[tuple]:
+        if self.table == "tree":
+            for path in partition.hashes:
+                with open(os.path.join(self.repo, path), "rb") as f:
+                    yield path, f.read()
+            return
         for at in range(0, len(partition.hashes), 500):
             some = partition.hashes[at : at + 500]
             form = f"--format={MARK}%H%x1f%at%x1f%an%x1f%ae%x1f%P%x1f%s"
@@ -80,14 +99,14 @@ class _Reader(DataSourceReader):
 
 
 class GitLog(DataSource):
-    """``spark.read.format("gitlog").option("path", ...)``; option ``table``: commits or entries; option ``stop``: a hash already read."""
+    """``spark.read.format("gitlog").option("path", ...)``; option ``table``: commits, entries or tree; option ``stop``: a hash already read."""
 
     @classmethod
     def name(cls) -> str:
         return "gitlog"
 
     def schema(self) -> str:
-        return RAW_ENTRIES if self.options.get("table") == "entries" else RAW_COMMITS
+        return {"entries": RAW_ENTRIES, "tree": "path string, content binary"}.get(self.options.get("table"), RAW_COMMITS)
 
     def reader(self, schema: Any) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -101,7 +120,6 @@ def read_git(spark: SparkSession, repo: str, stop: str | None = None) -> tuple[D
 
 
 def read_working_tree(spark: SparkSession, repo: str) -> DataFrame:
-    """path, content of the files below ``repo``, those of ``.git`` aside."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(repo)
-    relative = F.regexp_replace(F.call_function("url_decode", F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^.*?" + repo.rstrip("/").replace("\\", "\\\\").replace(".", "\\.") + "/", "")
-    return files.select(relative.alias("path"), "content").where(~F.col("path").startswith(".git/"))
+    """path, content of the files below ``repo``."""
+    spark.dataSource.register(GitLog)
+    return spark.read.format("gitlog").options(path=repo, table="tree").load()

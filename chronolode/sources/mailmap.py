@@ -33,6 +33,12 @@ def mailmap_frame(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(parse_mailmap(lines), MAILMAP)
 
 
+def read_mailmap(spark: SparkSession, working_tree: DataFrame) -> DataFrame | None:
+    """The ``.mailmap`` at the top of a working tree (path, content), or None; a file of a few lines."""
+    found = working_tree.where(F.col("path") == ".mailmap").select(F.decode("content", "UTF-8")).first()
+    return mailmap_frame(spark, found[0].splitlines()) if found and parse_mailmap(found[0].splitlines()) else None
+
+
 def resolve_identities(people: DataFrame, mailmap: DataFrame) -> DataFrame:
     """``people`` (raw_name, raw_email, ...) with author_name and author_email by the first entry that fits.
 

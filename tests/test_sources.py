@@ -52,7 +52,9 @@ def test_git_index_update_and_refresh(spark, tmp_path):
     # of white space only: touched, without lines
     assert sorted((r.commit_id, r.lines_added, r.lines_deleted) for r in m.file_changes.collect()) == [(0, 1, 0), (1, 2, 1), (2, 2, 0), (3, 0, 0)]
     before = sorted(map(tuple, m.file_changes.collect()))
+    (repo / ".mailmap").write_text("# people\nProper Name <test@example.com>\n")
     assert engine.refresh_index()["commitsProcessed"] == 4 and sorted(map(tuple, engine.model.file_changes.collect())) == before
+    assert {r.author_name for r in engine.model.commits.collect()} == {"Proper Name"}
 
 
 def test_git_merges_and_deletions(spark, tmp_path):
