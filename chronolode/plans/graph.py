@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both = cut_lineage(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    rows = both.count()  # bounds the rows of all that follows
+    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), rows)
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("v"), "component"), "v")
@@ -28,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         lowered = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("lower"))
         step = lowered.alias("a").join(labels.select(F.col("node").alias("lower"), F.col("component").alias("up")), "lower")
-        step = cut_lineage(step.select("node", F.least("lower", "up").alias("component"), (F.least("lower", "up") != F.col("a.component")).alias("changed")))
+        step = cut_lineage(step.select("node", F.least("lower", "up").alias("component"), (F.least("lower", "up") != F.col("a.component")).alias("changed")), rows)
         labels = step.select("node", "component")
         if step.where("changed").isEmpty():
             return labels

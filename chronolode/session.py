@@ -47,7 +47,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of any executor."""
+def cut_lineage(df: DataFrame, rows: int | None = None, rows_each: int = 100_000) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of any executor.
+
+    ``rows``: about how many rows there are, where that is known; small tables are then written as few files.
+    """
     shared_root(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_each)))
     return df.checkpoint()
