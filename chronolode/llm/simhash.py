@@ -28,7 +28,7 @@ from chronolode.session import cut_lineage
 
 #: Near-copy grouping: 64-bit words of a fingerprint, radii taken in turn, blocking keys, and the exact similarity of a link.
 WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56), 20, 3, 0.8
-CHUNK = 2048  # rows of a bucket that one side of a task holds, on average
+CHUNK = 1024  # rows of a bucket that one side of a task holds, on average
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
@@ -199,15 +199,15 @@ def _join_within(groups: np.ndarray, prints: np.ndarray, radius: int, label: np.
     return label
 
 
-def bucket_links(buckets: DataFrame, words: int, radii: tuple[int, ...], chunk: int = CHUNK) -> DataFrame:
+def bucket_links(buckets: DataFrame, words: int, radii: tuple[int, ...], chunk: int = CHUNK, n_rows: int | None = None) -> DataFrame:
     """src, dst: links within the last of ``radii`` between rows of one bucket, nearer ones first.
 
-    ``buckets``: key (long), node (long), fp0.. . Buckets of one row drop out. A bucket of over ``chunk``
+    ``buckets``: key (long), node (long), fp0.. , ``n_rows`` of them if that is known. Buckets of one row drop out. A bucket of over ``chunk``
     rows is dealt by hash into parts, and each unordered pair of parts becomes a group for one task.
     """
     prints = [f"fp{k}" for k in range(words)]
     # written out, so that the join has an exchange of its own on both sides and a hot bucket can be split
-    counts = cut_lineage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = cut_lineage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), n_rows, 250_000)
     parts = F.ceil(F.col("n") / chunk).cast("int")
     rows = buckets.join(counts, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
@@ -264,10 +264,11 @@ def band_buckets(prints: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp0, component_id: groups of documents whose fingerprints link at 3 or fewer differing bits, exactly."""
     made = cut_lineage(fingerprints(docs, size, 1, id_col, text_col))
-    distinct = cut_lineage(made.groupBy("fp0").agg(F.min("doc_id").alias("first_id")))
-    groups = connected_components(bucket_links(band_buckets(distinct), 1, (3,)))
+    n = made.count()
+    distinct = cut_lineage(made.groupBy("fp0").agg(F.min("doc_id").alias("first_id")), n)
+    groups = connected_components(bucket_links(band_buckets(distinct), 1, (3,), n_rows=16 * n))
     rooted = distinct.join(groups, distinct.fp0 == groups.node, "left").select("fp0", "first_id", F.coalesce("component", "fp0").alias("root"))
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), n)
     named = rooted.join(least, "root").select("fp0", "component_id")
     return made.join(named, "fp0").select("doc_id", "fp0", "component_id")
 
@@ -334,15 +335,16 @@ def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
     made = cut_lineage(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "t0", "t1", *fps)) + ", keys array<long>"))
     # equal texts have equal fingerprints and keys, so any of them will do; counted first on narrow rows
-    texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "keys"))))
+    n = made.count()
+    texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "keys"))), n, 20_000)
     placed = texts.select("node", F.posexplode("keys").alias("band", "key"), *fps)
     buckets = placed.select(F.xxhash64("band", "key").alias("key"), "node", *fps)
-    near = bucket_links(buckets, WORDS, radii)
-    near = cut_lineage(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    nodes = cut_lineage(near.select(F.col("src").alias("doc_id")).union(near.select("dst")).distinct())
+    near = bucket_links(buckets, WORDS, radii, n_rows=BANDS * n)
+    near = cut_lineage(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), BANDS * n, 250_000)
+    nodes = cut_lineage(near.select(F.col("src").alias("doc_id")).union(near.select("dst")).distinct(), n)
     # an id with several texts is one document; its least text stands for it
     bodies = rows.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    bodies = cut_lineage(bodies)
+    bodies = cut_lineage(bodies, n, 5_000)
     groups = connected_components(alike(near, bodies, size, similarity))
     named = texts.select("t0", "t1", "node").join(groups, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "t0", "t1").join(named, ["t0", "t1"]).select("doc_id", "component_id")
