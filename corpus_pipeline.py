@@ -38,8 +38,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as ``op7_packing`` gives them."""
-    return packing.packed_pieces(docs)
+    """Pieces of token sequences, as ``op7_packing`` gives them. Workers are left as small as they came, for other stages to follow."""
+    return packing.packed_pieces(docs, keep_table=False)
 
 
 STAGES = [
