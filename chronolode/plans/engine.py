@@ -67,10 +67,14 @@ def store_model(model: RepoModel, path: str) -> RepoModel:
 
 
 class Engine:
-    """A repository's index and the requests on it. ``call`` takes a request's name and arguments and returns JSON text."""
+    """A repository's index and the requests on it. ``call`` takes a request's name and arguments and returns JSON text.
 
-    def __init__(self, spark: SparkSession, model: RepoModel | None = None, repo: str | None = None, now_ms: int | None = None) -> None:
+    The index lies below ``path``; without one it lasts as long as the session.
+    """
+
+    def __init__(self, spark: SparkSession, model: RepoModel | None = None, repo: str | None = None, now_ms: int | None = None, path: str | None = None) -> None:
         self.spark, self.model, self.repo, self.fixed_now = spark, model, repo, now_ms
+        self.path, self.builds = path, 0
         self.status = IndexStatus("ready" if model else "not_started")
         self.tip: str | None = None
         self.landing: tuple[VersionedTable, VersionedTable] | None = None
@@ -162,12 +166,19 @@ class Engine:
             return {"status": "ready", "filesIndexed": 0, "commitsProcessed": 0, "durationMs": 0, "errorMessage": None}
         return self._build()
 
+    def _fresh(self, name: str) -> str:
+        """Where a build writes; readers of the one before keep their files."""
+        if self.path is None:
+            return shared_path(self.spark, name)
+        self.builds += 1
+        return f"{self.path}/{name}-{int(time.time() * 1000)}-{self.builds}"
+
     def _build(self) -> dict[str, Any]:
         self.status.begin(self.now())
         began = time.time()
         try:
             if self.landing is None:
-                root, stop = shared_path(self.spark, "landing"), None
+                root, stop = self._fresh("landing"), None
                 landing = VersionedTable(self.spark, f"{root}/commits", RAW_COMMITS), VersionedTable(self.spark, f"{root}/entries", RAW_ENTRIES)
             else:
                 landing, stop = self.landing, self.tip
@@ -179,7 +190,7 @@ class Engine:
             entries = landing[1].append_new(entries, "hash", "path", "status")
             tree = read_working_tree(self.spark, self.repo)
             model = build_model(commits, entries, tree, self.now(), read_mailmap(self.spark, tree))
-            self.model, self.tip, self.landing = store_model(model, shared_path(self.spark, "index")), tip, landing
+            self.model, self.tip, self.landing = store_model(model, self._fresh("index")), tip, landing
         except Exception as e:
             self.status.fail(str(e))
             return {"status": "error", "filesIndexed": 0, "commitsProcessed": 0, "durationMs": int(1000 * (time.time() - began)), "errorMessage": str(e)}

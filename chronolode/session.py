@@ -43,8 +43,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for what a query leaves there; it goes when the session's JVM ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def cut_lineage(df: DataFrame, rows: int | None = None, rows_each: int = 100_000) -> DataFrame:
