@@ -292,29 +292,105 @@ def blocking_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return keys.view(np.int64)
 
 
-def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The rows (src, dst) of ``pairs`` whose texts (node, text) share that much of their distinct shingles, exactly."""
+def verified_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Row pairs that span the groups of rows whose sets of numbers (sorted, distinct) share ``similarity``, exactly.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each row is compared with all rows that no group has reached yet, so a pair that is left out joins rows of one group and
+    a pair that fails joins nothing.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    ends = np.cumsum(sizes)
+    row_of = np.repeat(np.arange(len(sets)), sizes)
+    left, right, rest, rest_ids = [], [], np.arange(len(sets)), ids
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+
+    def leave(gone: np.ndarray) -> None:
+        nonlocal rest, rest_ids
+        stay = np.ones(len(sets), bool)
+        stay[gone] = False
+        rest_ids = rest_ids[np.repeat(stay[rest], sizes[rest])]
+        rest = rest[stay[rest]]
+
+    while len(rest) > 1:
+        queue = [int(rest[0])]
+        leave(rest[:1])
+        while queue and len(rest):
+            i = queue.pop()
+            mine = ids[ends[i] - sizes[i] : ends[i]]
+            mark[mine] = True
+            total = np.r_[0, np.cumsum(mark[rest_ids], dtype=np.int64)]
+            mark[mine] = False
+            upto = np.cumsum(sizes[rest])
+            both = total[upto] - total[upto - sizes[rest]]
+            found = rest[both >= similarity * (sizes[i] + sizes[rest] - both)]
+            if len(found):
+                left += [i] * len(found)
+                right += found.tolist()
+                queue += found.tolist()
+                leave(found)
+    return left, right
+
+
+def alike(groups: DataFrame, texts: DataFrame, size: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """src, dst: links that span, within each component of ``groups`` (node, component), the rows whose texts (node, text) share
+    that much of their distinct shingles, exactly.
+
+    A component of over ``chunk`` rows is dealt by hash into parts, and each pair of parts is a group for one task.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.unique(shingle_hashes(t.as_py() or b"", size)) for t in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+            sets = pa.array([np.unique(shingle_hashes(t.as_py() or b"", size)).tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["component", "parts", "node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            component, pair, node = (table.column(c).to_numpy() for c in ("component", "pair", "node"))
+            starts = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (pair[1:] != pair[:-1])])
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+                a, b = verified_links([np.frombuffer(t, np.uint64) for t in table.column("shingles").slice(at, end - at).to_pylist()], similarity)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at:end][x], pa.int64()) for x in (a, b)], names=["src", "dst"])
 
-    joined = pairs.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
-    return joined.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if held[0].column(0)[0] == batch.column(0)[-1] and held[0].column(1)[0] == batch.column(1)[-1]:
+                continue  # one group so far
+            table = pa.Table.from_batches(held)
+            component, pair = table.column("component").to_numpy(), table.column("pair").to_numpy()
+            cut = int(np.flatnonzero((component[1:] != component[:-1]) | (pair[1:] != pair[:-1]))[-1]) + 1
+            yield from solve(table.slice(0, cut))  # all but the last group are complete
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    # written out, so that the join has an exchange of its own on both sides and a large component can be split
+    counts = cut_lineage(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")))
+    joined = groups.join(counts, "component").join(texts, "node").select("component", "parts", "node", "text")
+    rows = joined.mapInArrow(shingles, "component long, parts int, node long, shingles binary").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # the rows of a part meet each other wherever that part meets another one
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))
+    pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(others, lambda x: F.least(x, F.col("part")).cast("long") * F.col("parts") + F.greatest(x, F.col("part")))
+    )
+    width = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("component", F.explode(pair).alias("pair"), "node", "shingles").repartition(width, "component", "pair")
+    return dealt.sortWithinPartitions("component", "pair", "node").mapInArrow(run, "src long, dst long")
 
 
 def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents grouped whose texts are equal or share ``similarity`` of their ``size``-word shingles.
 
     Similarity shows as differing bits of a 256-bit fingerprint: at 0.8, texts differ in 15 % of the bits, 39 on average; the
-    last radius of 56 is three standard deviations further. Documents meet in blocks by minima of their shingle hashes. A
-    block gives a spanning set of near pairs, the nearest first, and these are then compared exactly. Equal texts are one
-    node, so copies cost one row. Rows with a null id are left out.
+    last radius of 56 is three standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
+    pairs of all blocks make components, which only say which documents may be alike; within each of them documents are
+    compared exactly, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. Rows with
+    a null id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,12 +415,9 @@ def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII,
     texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "keys"))), n, 20_000)
     placed = texts.select("node", F.posexplode("keys").alias("band", "key"), *fps)
     buckets = placed.select(F.xxhash64("band", "key").alias("key"), "node", *fps)
-    near = bucket_links(buckets, WORDS, radii, n_rows=BANDS * n)
-    near = cut_lineage(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), BANDS * n, 250_000)
-    nodes = cut_lineage(near.select(F.col("src").alias("doc_id")).union(near.select("dst")).distinct(), n)
+    near = connected_components(bucket_links(buckets, WORDS, radii, n_rows=BANDS * n))
     # an id with several texts is one document; its least text stands for it
-    bodies = rows.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    bodies = cut_lineage(bodies, n, 5_000)
+    bodies = rows.join(near.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
     groups = connected_components(alike(near, bodies, size, similarity))
     named = texts.select("t0", "t1", "node").join(groups, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "t0", "t1").join(named, ["t0", "t1"]).select("doc_id", "component_id")

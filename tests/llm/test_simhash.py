@@ -96,3 +96,32 @@ def test_near_copies_stay_once(spark):
     assert set(clean) <= set(kept) and 2000 not in kept and 2001 in kept and 2002 not in kept
     assert sum(d in kept for d in groups_) <= 42 and all(g in kept for g in set(groups_.values()))
     assert op.without_copies(df).columns == df.columns
+
+
+def test_star_of_near_copies_is_one_group(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1001):  # six of 400 words: 0.86 to the original, about 0.75 to each other
+        text = list(base)
+        for at in rng.sample(range(10, 390), 6):
+            text[at] = word()
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in op.without_copies(df).collect()] == [0]
+
+
+def test_verified_links_equal_brute_force(spark):
+    rng = random.Random(7)
+    sets = [np.unique(np.array([rng.randrange(14) for _ in range(rng.randrange(12))], np.uint64)) for _ in range(150)]
+    share = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = groups(sets, share)
+    a, b = op.verified_links(sets, 0.8)
+    assert all(share(sets[i], sets[j]) for i, j in zip(a, b)) and len(a) == len(sets) - len(set(want))
+    texts = [" ".join(f"w{x}" for x in s) for s in sets]
+    near = spark.createDataFrame([(i, 0) for i in range(len(sets))], "node long, component long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("text", F.col("text").cast("binary"))
+    for chunk in (1024, 20):
+        linked = {frozenset(r) for r in op.alike(near, rows, 1, 0.8, chunk).collect()}
+        assert groups(list(range(len(sets))), lambda i, j: frozenset((i, j)) in linked) == want
