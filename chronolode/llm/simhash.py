@@ -28,6 +28,8 @@ from chronolode.session import cut_lineage
 
 #: Near-copy grouping: 64-bit words of a fingerprint, radii taken in turn, blocking keys, and the exact similarity of a link.
 WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56), 20, 3, 0.8
+#: Texts of fewer distinct shingles have no telling fingerprint, so the radius does not apply to them.
+SHORT = 20
 CHUNK = 1024  # rows of a bucket that one side of a task holds, on average
 
 
@@ -386,35 +388,38 @@ def alike(groups: DataFrame, texts: DataFrame, size: int, similarity: float, chu
 def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents grouped whose texts are equal or share ``similarity`` of their ``size``-word shingles.
 
-    Similarity shows as differing bits of a 256-bit fingerprint: at 0.8, texts differ in 15 % of the bits, 39 on average; the
+    Similarity shows as differing bits of a 256-bit fingerprint of the distinct shingles: at 0.8, texts differ in 15 % of the bits, 39 on average; the
     last radius of 56 is three standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
     pairs of all blocks make components, which only say which documents may be alike; within each of them documents are
-    compared exactly, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. Rows with
+    compared exactly, in blocks of texts under ``SHORT`` shingles all are near, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. Rows with
     a null id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, keys = np.zeros((len(batch), WORDS), np.int64), np.zeros((len(batch), BANDS), np.int64)
-            digests = np.zeros((len(batch), 2), np.uint64)
+            digests, counts = np.zeros((len(batch), 2), np.uint64), np.zeros(len(batch), np.int64)
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py() or b""
-                hashes = shingle_hashes(text, size)
+                hashes = np.unique(shingle_hashes(text, size))  # as they are compared
+                counts[i] = len(hashes)
                 prints[i] = np.packbits(np.concatenate([majority(rehash(hashes, k)) for k in range(WORDS)]), bitorder="little").view(np.int64)
                 keys[i] = blocking_keys(hashes)
                 digests[i] = divmod(xxhash.xxh3_128_intdigest(text), 1 << 64)
             t0, t1 = (pa.array(digests[:, k].view(np.int64)) for k in (0, 1))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), t0, t1, *(pa.array(prints[:, k]) for k in range(WORDS)), lists], names=["doc_id", "t0", "t1", *fps, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), t0, t1, *(pa.array(prints[:, k]) for k in range(WORDS)), pa.array(counts), lists], names=["doc_id", "t0", "t1", *fps, "n_shingles", "keys"])
 
     fps = [f"fp{k}" for k in range(WORDS)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
-    made = cut_lineage(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "t0", "t1", *fps)) + ", keys array<long>"))
+    made = cut_lineage(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "t0", "t1", *fps, "n_shingles")) + ", keys array<long>"))
     # equal texts have equal fingerprints and keys, so any of them will do; counted first on narrow rows
     n = made.count()
-    texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "keys"))), n, 20_000)
-    placed = texts.select("node", F.posexplode("keys").alias("band", "key"), *fps)
-    buckets = placed.select(F.xxhash64("band", "key").alias("key"), "node", *fps)
+    texts = cut_lineage(made.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*fps, "n_shingles", "keys"))), n, 20_000)
+    placed = texts.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"), *fps)
+    # a short text and its partners, whose size is within the similarity, have blocks of their own, where all are near
+    short = placed.where(F.col("n_shingles") * similarity <= SHORT).select(F.xxhash64("band", "key", F.lit("short")).alias("key"), "node", *(F.lit(0).cast("long").alias(c) for c in fps))
+    buckets = placed.where(F.col("n_shingles") >= SHORT).select(F.xxhash64("band", "key").alias("key"), "node", *fps).union(short)
     near = connected_components(bucket_links(buckets, WORDS, radii, n_rows=BANDS * n))
     # an id with several texts is one document; its least text stands for it
     bodies = rows.join(near.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))

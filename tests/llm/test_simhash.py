@@ -125,3 +125,19 @@ def test_verified_links_equal_brute_force(spark):
     for chunk in (1024, 20):
         linked = {frozenset(r) for r in op.alike(near, rows, 1, 0.8, chunk).collect()}
         assert groups(list(range(len(sets))), lambda i, j: frozenset((i, j)) in linked) == want
+
+
+def test_repeated_passages_and_short_texts_are_near_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(12):  # 0.95 or more of the distinct shingles in common, a line repeated in one of them
+        base, line = [word() for _ in range(304)], [word() for _ in range(12)]
+        rows += [(4 * g, " ".join(base)), (4 * g + 1, " ".join(base + line * (5, 10, 20, 50)[g % 4]))]
+    for g in range(12, 300):  # 4 of 5 shingles, and 18 of 22
+        n = (8, 22)[g % 2]
+        base = [word() for _ in range(n + (1, 4)[g % 2])]
+        rows += [(4 * g, " ".join(base)), (4 * g + 1, " ".join(base[:n]))]
+    kept = {r.doc_id for r in op.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = {d for d, _ in rows if d % 4 == 0}
+    assert kept == pairs
