@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored from leetspeak, spacing and repetition through a noisy channel.
 
 A character trigram model is counted over all documents. A token that looks disguised (a figure or sign before
-a letter, a letter three times in a row, letters standing apart) becomes a lattice: each sign may stand for the letters it
+a letter, a letter twice or more in a row, letters standing apart) becomes a lattice: each sign may stand for the letters it
 resembles or for none, a run of one letter for one or two. Viterbi decoding finds the reading with the highest channel
 and language-model probability. The restored text is scored by logistic regression over its words and their
 openings, chosen from labelled training rows by log-likelihood ratio.
@@ -34,15 +34,13 @@ READ_AS, DROPPED_SIGN, DROPPED_GAP, ONE_OF_TWO, TWO_OF_MANY = -1.0, -9.0, -0.2,
 READINGS = 3  # decodings of a token that count as restored text
 SIGNS = re.escape("".join(RESEMBLES))
 DISGUISED = re.compile(rf"[{SIGNS}*.\-_]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][{SIGNS}]+$")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[ .\-_*]{{1,3}}(?:[^\W_]|[{SIGNS}])(?![^\W_])){{2,}}")
 GAPS = re.compile(r"[ .\-_*]+")
 BRACKETS = ".,;:?\"')[]{}<>"
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡…*#%&"
 
 _TABLE = bytes(ord(c) - 96 if (c := chr(b).lower()) in "abcdefghijklmnopqrstuvwxyz" else 27 if b >= 128 else 0 for b in range(256))
-_LETTER = np.array([t > 0 for t in _TABLE])
-_SIGN = np.isin(np.arange(256), np.frombuffer("".join(c for c in RESEMBLES if c.isascii()).encode(), np.uint8))
-_GAP = np.isin(np.arange(256), np.frombuffer(b" .-_*", np.uint8))
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -99,10 +97,10 @@ def decode(token: str, model: list, readings: int = 1) -> list[str]:
 
     Each pair of last characters keeps its best path; the best of these, after the closing boundary, are returned.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # with its letters as a chain, last first
     for options in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for letters, channel in options:
                 x, y, s = a, b, score + channel
                 for c in letters:
@@ -110,38 +108,31 @@ def decode(token: str, model: list, readings: int = 1) -> list[str]:
                     s += model[x][y][z]
                     x, y = y, z
                 if (x, y) not in step or s > step[x, y][0]:
-                    step[x, y] = (s, text + letters)
+                    step[x, y] = (s, (path, letters))
         best = step
-    ends = sorted(((s + model[a][b][0], t) for (a, b), (s, t) in best.items()), reverse=True)
-    return [t for _, t in ends[:readings]]
 
+    def spelt(path: tuple | None) -> str:
+        out = []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
-def looks_disguised(text: bytes) -> bool:
-    """Whether some token of the text may be disguised: a quick look that passes on all that ``restored`` would change."""
-    codes = np.frombuffer(text, np.uint8)
-    if len(codes) < 3:
-        return False
-    letter, sign, gap = _LETTER[codes], _SIGN[codes], _GAP[codes]
-    if (letter[1:] & sign[:-1]).any() or (letter[:-1] & sign[1:]).any():
-        return True
-    if (letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])).any():
-        return True
-    inner = gap & (codes != 32)
-    if (letter[:-2] & inner[1:-1] & letter[2:]).any():
-        return True
-    single = letter | sign
-    edge = np.r_[True, ~single[:-1]] & np.r_[~single[1:], True] & single  # characters standing alone
-    near = edge[:-2] & edge[2:]
-    return bool((near[:-2] & near[2:]).any() or (edge.sum() > 2 and APART.search(text.decode("utf-8", "replace").lower()) is not None))
+    ends = sorted(((s + model[a][b][0], spelt(t)) for (a, b), (s, t) in best.items()), reverse=True)
+    return [t for _, t in ends[:readings]]
 
 
 def restored(text: str, model: list, memo: dict[str, str], readings: int = 1) -> str:
-    """The lower-case text with each disguised token replaced by its most probable readings, side by side."""
+    """The lower-case text with each disguised token replaced by its most probable readings, side by side.
+
+    A token with a doubled letter is one if some reading is more probable than the token as it stands.
+    """
 
     def read_token(token: str) -> str:
         if token not in memo:
             bare = token.strip(BRACKETS)
-            memo[token] = " ".join(decode(bare, model, readings)) if DISGUISED.search(bare) else token
+            found = decode(bare, model, readings) if DISGUISED.search(bare) or DOUBLED.search(bare) else [bare]
+            memo[token] = token if found[0] == bare else " ".join(found)
         return memo[token]
 
     joined = APART.sub(lambda m: f" {' '.join(decode(GAPS.sub('', m[0]), model, readings))} ", text)
@@ -162,8 +153,6 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         if len(self.memo) > 300_000:
             self.memo = {}
-        if not looks_disguised(text.encode()):
-            return set(text.lower().split())
         text = text.lower()
         plain = set(text.split())
         return plain.union(restored(text, self.model, self.memo, READINGS).split())

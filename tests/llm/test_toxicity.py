@@ -68,3 +68,13 @@ def test_without_labels_nulls_and_ties(spark, tmp_path):
     assert len(got) == len(docs) and all(r.score < 1e-9 and r.predicted == 0 for r in got)
     spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
     assert op.op3_toxicity(spark, str(tmp_path)).count() == len(docs)
+
+
+@pytest.mark.parametrize("word, disguises", [("idiot", ["id--iot", "id**iot", "iDdDiot", "idiiot"]), ("moron", ["m0ron", "morron"]), ("stupid", ["sTtTupid", "stuupid"]), ("loser", ["los€r", "looser"])])
+def test_disguises_need_nothing_else_in_the_text(model, word, disguises):
+    for d in disguises:
+        assert word in op.Restorer(model).words(f"the of {d} was there"), d
+
+
+def test_long_tokens_are_read_in_one_go(model):
+    assert op.Restorer(model).words("abbc" * 50_000)
