@@ -7,7 +7,7 @@ and language-model probability. The restored text is scored by logistic regressi
 openings, chosen from labelled training rows by log-likelihood ratio.
 
 Labels are learned from at most ``MAX_TOXIC`` and ``MAX_CLEAN`` training rows, the first of each label in hash order;
-the character counts cover every document.
+the intercept is then set to the odds of all training rows, and the character counts cover every document.
 
 Defined results: a null text is an empty one and scores as the base rate does. A null label is no label; where a doc_id has
 several, the largest holds. Without training rows of both labels every score is the share of label 1 (0 without any).
@@ -202,6 +202,11 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, width: int, penalty: floa
     return w
 
 
+def shift(toxic: int, clean: int) -> float:
+    """What the intercept lacks for having been fitted on the first rows of each label: the log of the ratio of their shares."""
+    return math.log(max(toxic / MAX_TOXIC, 1.0) / max(clean / MAX_CLEAN, 1.0))
+
+
 class Scorer:
     """Scores texts with the fitted features; words already looked at are kept, up to a bound."""
 
@@ -249,6 +254,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         sets = taught.mapInArrow(mark, "f array<int>, y int").collect()
         weights = fit_logistic([r["f"] for r in sets], np.array([float(r["y"]) for r in sets]), len(features))
+        total = {int(r["y"]): r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        weights[-1] += shift(total[1], total[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, features, weights)

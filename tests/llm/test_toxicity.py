@@ -78,3 +78,14 @@ def test_disguises_need_nothing_else_in_the_text(model, word, disguises):
 
 def test_long_tokens_are_read_in_one_go(model):
     assert op.Restorer(model).words("abbc" * 50_000)
+
+
+def test_capped_labels_keep_the_odds(spark, tmp_path, monkeypatch):
+    docs = [(i, "plain words of the day" if i % 11 else f"vile words of the day {i}") for i in range(1, 2200)] + [(5000, "of the day")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # labels say nothing about the words, so the score of any text is the share of label 1
+    spark.createDataFrame([(d, int(d % 10 == 0)) for d, _ in docs[:-1]], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = lambda: next(r.score for r in op.op3_toxicity(spark, str(tmp_path)).collect() if r.doc_id == 5000)
+    assert abs(score() - 0.1) < 0.03
+    monkeypatch.setattr(op, "MAX_CLEAN", 300)
+    assert abs(score() - 0.1) < 0.03
