@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from chronolode.functions.scalar import basename
 from chronolode.session import cut_lineage
 
-MAX_HOPS = 20
-
 
 def detect_renames(entries: DataFrame) -> DataFrame:
     """ord, old, new of the renames in ``entries`` (ord, path, status)."""
@@ -29,13 +27,14 @@ def detect_renames(entries: DataFrame) -> DataFrame:
 def resolve_renames(entries: DataFrame) -> DataFrame:
     """``entries`` with ``final_path``; the deleted side of a rename is left out.
 
-    Only distinct touches of renamed paths travel along the chain, a join a hop, at most ``MAX_HOPS``.
+    Only distinct touches of renamed paths travel along the chain, a join a hop, until none moves. Each hop is to a later
+    commit, so chains end.
     """
     renames = cut_lineage(detect_renames(entries))
     gone = renames.select("ord", F.col("old").alias("path"), F.lit("D").alias("status"))
     kept = entries.join(gone, ["ord", "path", "status"], "left_anti")
     at = kept.join(renames.select(F.col("old").alias("path")).distinct(), "path", "left_semi").select("ord", "path").distinct().withColumns({"now": F.col("path"), "since": F.col("ord")})
-    for _ in range(MAX_HOPS):
+    while True:
         later = renames.select(F.col("old").alias("now"), F.struct(F.col("ord").alias("next_ord"), F.col("new").alias("next")).alias("hop"))
         hops = at.join(later, "now", "left").groupBy("ord", "path", "now", "since").agg(F.min(F.when(F.col("hop.next_ord") >= F.col("since"), F.col("hop"))).alias("hop"))
         moved = cut_lineage(

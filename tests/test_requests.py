@@ -178,6 +178,11 @@ def resolved(spark, *entries):
     return {(r.ord, r.path): r.final_path for r in resolve_renames(spark.createDataFrame(list(entries), "ord long, path string, status string")).collect()}
 
 
+def test_long_chain_of_renames(spark):
+    entries = [(0, "d0/F", "A")] + [x for k in range(1, 26) for x in ((k, f"d{k - 1}/F", "D"), (k, f"d{k}/F", "A"))]
+    assert set(resolved(spark, *entries).values()) == {"d25/F"}
+
+
 def test_renames(spark):
     assert resolved(spark, (0, "foo/Bar", "A"), (1, "foo/Bar", "D"), (1, "bar/Bar", "A"), (2, "bar/Bar", "M")) == {(0, "foo/Bar"): "bar/Bar", (1, "bar/Bar"): "bar/Bar", (2, "bar/Bar"): "bar/Bar"}
     # the target was there before
