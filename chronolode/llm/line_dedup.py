@@ -2,8 +2,8 @@
 
 The main path is DataFrame functions only. Text never enters the shuffle of lines: a line is its
 128-bit key hash and the row it is in. Hashes are range-partitioned by (hash, document descending),
-so a hot line spreads over as many partitions as its documents fill, and within a partition the rows
-stand in (hash, document) order: the first row of a run is the occurrence that stays.
+so a hot line spreads over as many partitions as its documents fill. Within a partition a hash aggregate finds the
+distinct (hash, document) pairs and each hash's largest document, whose occurrence stays; nothing is sorted.
 Counts are combined before the only exchange by hash.
 
 Defined results: a null or empty text is one empty line. A null doc_id is one id below all others.
@@ -56,7 +56,7 @@ def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """key, keeper, n_docs of the lines found in at least ``min_docs`` documents; ``keeper`` is the largest id."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = _hashed(docs, id_col, text_col, min_chars).select("key", "did")
-    runs = hashed.repartitionByRange(width, F.col("key"), F.col("did").desc()).sortWithinPartitions(F.col("key"), F.col("did").desc())
+    runs = hashed.repartitionByRange(width, F.col("key"), F.col("did").desc())
     firsts = runs.distinct()
     return firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
