@@ -1,10 +1,11 @@
 """Line deduplication by range-partitioned line hashes and per-document keep bitmaps.
 
 The main path is DataFrame functions only. Text never enters the shuffle of lines: a line is its
-128-bit key hash and the row it is in. Hashes are range-partitioned by (hash, document descending),
-so a hot line spreads over as many partitions as its documents fill. Within a partition a hash aggregate finds the
-distinct (hash, document) pairs and each hash's largest document, whose occurrence stays; nothing is sorted.
-Counts are combined before the only exchange by hash.
+128-bit key hash and the row and position it is in, cut and hashed once and written to the shared folder. The hashes are
+range-partitioned by (hash, document), so a hot line spreads over as many partitions as its documents fill, and sorted by document and
+position within. A run is the part of a hash's lines that lies in one span of ``2 ** SPAN_BITS`` document ids; streaming
+through it, the first occurrence of the hash in each document is told from those that follow in the same one, and the first of
+all is the run's largest document. Runs give a row each, which are combined into the repeated hashes with the document that keeps them.
 
 Defined results: a null or empty text is one empty line. A null doc_id is one id below all others.
 Rows that share a doc_id are one document when documents are counted, and each keeps or loses its own lines.
@@ -12,15 +13,16 @@ Rows that share a doc_id are one document when documents are counted, and each k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolode.llm.tables import read
-from chronolode.session import cut_lineage
+from chronolode.session import cut_lineage, shared_path
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NULL_ID = -(2**63)
+SPAN_BITS = 12
 
 
 def key_text(bare: Column) -> Column:
@@ -42,23 +44,36 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("row_hash"), F.split(text, "\n", -1).alias("lines"))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """did, row_hash, pos, key of the lines that are long enough.
-
-    The key can't be null and says so: a join would otherwise make it twice, once to look for nulls.
-    """
+def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
+    """did, row_hash, pos, key of the lines that are long enough, written to the shared folder and read back."""
     rows = _lines(docs, id_col, text_col).select("did", "row_hash", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.char_length("line") >= min_chars).withColumn("bare", F.btrim("line", F.lit(STRIPPED)))
-    return rows.where(F.char_length("bare") >= min_chars).select("did", "row_hash", "pos", F.coalesce(F.unhex(F.md5(key_text(F.col("bare")))), F.lit(b"")).alias("key"))
+    hashed = rows.where(F.char_length("bare") >= min_chars).select("did", "row_hash", "pos", F.unhex(F.md5(key_text(F.col("bare")))).alias("key"))
+    path = shared_path(docs.sparkSession, "lines")
+    hashed.write.parquet(path)
+    return docs.sparkSession.read.schema(hashed.schema).parquet(path)
+
+
+def first_occurrences(hashes: DataFrame) -> DataFrame:
+    """key, span, did, line of the first line of each key in each document; ``line`` counts the lines of a run, the largest document's first.
+
+    Range partitions by (key, span) already hold each run whole, so the window sorts them where they are.
+    """
+    width = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hashes.select("key", F.shiftright("did", SPAN_BITS).alias("span"), "did", "pos")
+    rows = rows.repartitionByRange(width, F.col("key"), F.col("span").desc())
+    run = Window.partitionBy("key", "span").orderBy(F.desc("did"), "pos")
+    before = F.lag("did").over(run)
+    firsts = rows.withColumns({"line": F.row_number().over(run), "fresh": before.isNull() | (before != F.col("did"))})
+    return firsts.where("fresh").select("key", "span", "did", "line")
 
 
-def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def repeated_keys(hashes: DataFrame, min_docs: int = 5) -> DataFrame:
     """key, keeper, n_docs of the lines found in at least ``min_docs`` documents; ``keeper`` is the largest id."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = _hashed(docs, id_col, text_col, min_chars).select("key", "did")
-    runs = hashed.repartitionByRange(width, F.col("key"), F.col("did").desc())
-    firsts = runs.distinct()
-    return firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    firsts = first_occurrences(hashes)
+    # a run's rows are in its partition, so these sums need no exchange; the next ones take a row a run
+    runs = firsts.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("line") == 1, F.col("did"))).alias("first"))
+    return runs.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("first").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -67,9 +82,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep`` lists (word, bits) for the 64-line words in which some line is dropped; bit b of word w is
     line 64 w + b. An absent word keeps all its lines, so a bitmap grows with the drops, not the text.
     """
+    hashes = line_hashes(docs, id_col, text_col, min_chars)
     # written out, so that the join below has an exchange of its own on both sides and a hot key can be split
-    repeated = cut_lineage(repeated_keys(docs, id_col, text_col, min_chars, min_docs))
-    lost = _hashed(docs, id_col, text_col, min_chars).join(repeated, "key").where("did <> keeper").select("did", "row_hash", "pos")
+    repeated = cut_lineage(repeated_keys(hashes, min_docs))
+    lost = hashes.join(repeated, "key").where("did <> keeper").select("did", "row_hash", "pos")
     words = lost.distinct().groupBy("did", "row_hash", (F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("gone"), F.count(F.lit(1)).alias("n")
     )

@@ -24,6 +24,33 @@ def test_main_path_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_lines_are_sorted_and_streamed(spark):
+    """The sort by document and position is in the plan that runs, on range partitions, with nothing exchanged for the runs."""
+    rows = spark.createDataFrame([(d, 1, p, bytes([k])) for d in range(5000, 0, -7) for p in (3, 1) for k in range(3)], "did long, row_hash long, pos int, key binary")
+    firsts = op.first_occurrences(rows)
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and plan.count("Sort [") == 1 and "did#" in plan.split("Sort [")[1].split("]")[0] and "pos#" in plan.split("Sort [")[1].split("]")[0]
+    got = sorted(map(tuple, firsts.collect()))
+    want = []
+    for k in range(3):
+        for span in (0, 1):
+            ids = [d for d in range(5000, 0, -7) if d >> op.SPAN_BITS == span]
+            want += [(bytes([k]), span, d, 2 * i + 1) for i, d in enumerate(ids)]
+    assert got == sorted((bytearray(k), *r) for k, *r in want)
+
+
+def test_lines_are_cut_once(spark):
+    df = spark.createDataFrame([(i, LONG) for i in range(5)], "doc_id long, text string")
+    hashes = op.line_hashes(df)
+    assert "Generate" not in op.keep_bitmaps(df)._jdf.queryExecution().toString() and hashes.count() == 5
+
+
+def test_spans_of_a_hot_line(spark, monkeypatch):
+    monkeypatch.setattr(op, "SPAN_BITS", 2)
+    got = run(spark, [(i, f"{LONG}\nown {i}\n{LONG}") for i in range(-40, 60)])
+    assert [d for d, r in got.items() if not r._n_dropped] == [59] and {r._n_dropped for d, r in got.items() if d != 59} == {2}
+
+
 def test_keeper_and_case(spark):
     rows = [(i, f"  {LONG}É\t\nshort\n{LONG.upper()}É") for i in range(5)] + [(9, f"{LONG}é"), (8, None), (7, "")]
     got = run(spark, rows)
