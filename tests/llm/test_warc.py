@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 
 import pytest
 
@@ -67,3 +68,75 @@ def test_damaged_archive_is_read_by_spark(spark, tmp_path):
     rows = op.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).collect()
     assert [op.urn_page(r.record_id) for r in rows if r.gap_reason is None] == [0, 1] and [(r.offset, r.gap_reason is not None) for r in rows if r.gap_reason][0] == (0, True)
     assert list(op.salvage(io.BytesIO(b""), 0)) == [] and [tuple(g)[:2] for g in op.salvage(io.BytesIO(b"x" * 50), 50)] == [(0, 50)]
+
+
+HEAD = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:x:{}>\r\nWARC-Date: 2001-01-01T00:00:00Z\r\nContent-Type: application/http; msgtype=response\r\n{}Content-Length: {}\r\n\r\n"
+
+
+def foreign(n, block, kind="response", more=""):
+    return HEAD.format(kind, n, more, len(block)).encode() + block + b"\r\n\r\n"
+
+
+def read(spark, tmp_path, data, name="a.warc"):
+    (tmp_path / name).write_bytes(data)
+    return op.read_archives(spark.createDataFrame([(str(tmp_path / name),)], "path string")).collect()
+
+
+def test_foreign_records(spark, tmp_path):
+    """Without HTTP length, chunked, with a header line that goes on, a revisit without length, other types."""
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=y\r\nwiki\r\nA\r\npedia in\r\n\r\n0\r\n\r\n"
+    data = foreign(1, b"HTTP/1.1 200 OK\r\n\r\nbody") + foreign(2, chunked, more=f"WARC-Payload-Digest: sha1:{digest(b'wikipedia in' + bytes([13, 10]))}\r\n")
+    data += foreign(3, b"HTTP/1.1 200 OK\r\n\r\n", "revisit", "WARC-Refers-To: <urn:x:1>\r\n  more\r\n") + foreign(4, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz")
+    data += b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: r\r\nWARC-Date: d\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for packed in (data, op.compress(data)):
+        rows = read(spark, tmp_path, packed)
+        assert [(r.record_type, r.payload_bytes, r.payload and bytes(r.payload), r.gap_reason) for r in rows] == [
+            ("response", 4, b"body", None), ("response", 14, b"wikipedia in\r\n", None), ("revisit", None, None, None), ("response", 2, b"zz", None), ("resource", 3, None, None),
+        ]
+        assert rows[2].refers_to == "<urn:x:1> more"
+
+
+def test_members_of_many_records():
+    records = [op.make_record(i, None, b"payload %d " % i * 40, None, False) for i in range(9)]
+    ids = lambda got: [op.urn_page(r.fields["warc-record-id"]) for r in got if isinstance(r, op.Record)]
+    data = op.compress(b"".join(records[:5])) + op.compress(records[5])
+    got = list(op.salvage(io.BytesIO(data), len(data)))
+    assert ids(got) == list(range(6)) and got[-1].end == len(data) and got[4].end == got[5].offset and not any(isinstance(x, op.Gap) for x in got)
+    # a damaged record inside, rubbish between
+    broken = bytearray(records[2])
+    broken[-20] ^= 1
+    data = op.compress(b"".join([records[0], records[1], bytes(broken), records[3], b"WARC/1.1 rubbish" * 30_000, records[4]]))
+    got = list(op.salvage(io.BytesIO(data), len(data)))
+    assert ids(got) == [0, 1, 3, 4] and [x.reason for x in got if isinstance(x, op.Gap)] == ["block digest does not hold, inside a member", "no version line, inside a member"]
+    # the download stopped: what was decoded before is there but for the last one
+    whole = op.compress(b"".join(op.make_record(i, None, random.Random(i).randbytes(3000), None, False) for i in range(300)))
+    got = list(op.salvage(io.BytesIO(whole[: len(whole) // 2]), len(whole) // 2))
+    assert 140 <= len(ids(got)) <= 150 and ids(got) == list(range(len(ids(got)))) and got[-1][:2] == (0, len(whole) // 2)
+
+
+class Counting(io.BytesIO):
+    most = total = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.most, self.total = max(self.most, len(data)), self.total + len(data)
+        return data
+
+
+def test_a_wrong_length_is_not_read():
+    records = [op.make_record(i, None, bytes([65 + i]) * 200_000, None, False) for i in range(40)]
+    for i, n in ((1, b"7000078"), (3, b"99999999999")):
+        records[i], changed = re.subn(rb"Content-Length: \d+\r\n\r\nHTTP", b"Content-Length: " + n + b"\r\n\r\nHTTP", records[i])
+        assert changed == 1
+    data = b"".join(records)
+    file = Counting(data)
+    got = list(op.salvage(file, len(data)))
+    assert len([r for r in got if isinstance(r, op.Record)]) == 38 and [g.reason for g in got if isinstance(g, op.Gap)] == ["length does not hold", "block is too long"]
+    assert file.most <= 1 << 20 and file.total < 2.5 * len(data)
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, monkeypatch):
+    honest = op.make_record
+    monkeypatch.setattr(op, "make_record", lambda i, *a: honest(i, *a)[:-9] if i == 3 else honest(i, *a))
+    with pytest.raises(Exception, match="has a gap"):
+        op.op5_warc(spark, SF).collect()
