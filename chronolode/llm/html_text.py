@@ -1,13 +1,16 @@
-"""Main text of web pages by the maximum-scoring subsequence of their tokens.
+"""Main text of web pages by the maximum-scoring subsequence of their words and tags.
 
-A page is cut into words and tags. A word scores by where it stands (in the article, in a link, in a menu ...),
-a tag by its name; the weights are log odds of being content, learned from labelled pages, words of content places
-positive and tags negative. One linear scan finds the contiguous region with the largest sum. Inside the
-region, elements that are no article text (menus, notices, adverts, forms, comments ...) stay out, and the rest is put
-together block by block.
+A page is cut into words and tags in one linear pass. Each element gives evidence for or against what it holds: log odds of
+its tag, role, names and share of links, learned from labelled pages (``html_pages``). Evidence adds up from the root to a
+word, between bounds, so that an inner element can turn off what an outer one turned on. Words score
+positive or negative by it and tags negative, and one linear scan finds the contiguous region with the largest sum. Words
+of the region without positive evidence (menus, notices, adverts, forms, comments ... inside the article) stay out, and the rest is put
+together block by block; a word that stays out does not end its block.
 
-Defined results: a null or empty page, or one without a positive word, has empty text. Tags left open, closed twice or
-badly nested are read as a browser would, nearly: a closing tag without its opening one is ignored.
+Defined results: a null or empty page, or one without a positive word, has empty text. What is hidden (``hidden``, ``aria-hidden``, no display) or not
+text (scripts, styles, pictures, selections) is out whatever surrounds it. Tags left open, closed twice or
+badly nested are read as a browser would, nearly: a closing tag without its opening one is ignored, an unclosed quote ends with its tag, and
+a ``<`` that begins no tag is text.
 """
 
 from __future__ import annotations
@@ -17,162 +20,278 @@ import math
 import re
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolode.llm.html_pages import LABELLED
 from chronolode.llm.tables import read
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|title|noscript|template|iframe|svg|math|textarea|select|object|canvas|video|audio)\b.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=<]*)([^>\"']*)>")
+TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.IGNORECASE) for n in ("script", "style", "title", "textarea")}
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split()
 )
-SPACED = frozenset(("br", "td", "th", "wbr"))
+SPACED = frozenset(("br", "td", "th"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements on the stack of open ones; others matter only as tags.
-KEPT_OPEN = frozenset("a article aside button details dialog div dl fieldset figure footer form head header label li main menu nav ol section span table ul p".split())
-#: Elements, roles and names (parts of class and id) of what is no article text.
-OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog button head fieldset label".split())
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|privacy|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|masthead|topbar|share\w*|social|related|recommend\w*|newsletter|subscribe|subscription|signup|popup|modal|overlay|notice|notification|"
-    r"alert|disclaimer|comments?|commentlist|respond|repl(?:y|ies)|discussion|disqus|widgets?|pagination|pager|toolbar|skip|search|login|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b(?!\s*=)", re.IGNORECASE)
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:site|page|top|main)?[_-]?header(?:$|[\s_-])", re.IGNORECASE)
-
-# Labelled pages: {n} stands for n words, [[n]] for n words of content.
-LABELLED = (
-    '<html><head></head><body><nav><ul><li><a href="">{1}</a></li><li><a>{1}</a></li><li><a>{2}</a></li></ul></nav><div class="ad">{9}</div><article><h1>[[9]]</h1><p><b>[[40]]</b><br><p>[[60]]</p><p>[[30]]</p></article><footer>{12}</footer></body></html>',
-    '<body><header><a>{2}</a><p>{5}</p></header><main><h1>[[7]]</h1><p>[[50]]</p><aside><p>{20}</p></aside><p>[[45]]</p><h2>[[4]]</h2><ul><li>[[8]]</li><li>[[9]]</li></ul><p>[[70]]</p></main><aside class="sidebar"><ul><li><a>{3}</a></li><li><a>{4}</a></li></ul></aside><footer><p>{9}</p></footer></body>',
-    '<body><div id="menu"><a>{1}</a><a>{1}</a><a>{2}</a></div><div id="content"><h1>[[6]]</h1><p>[[55]] <a>[[2]]</a> [[20]]</p><p>[[80]]</p><blockquote>[[25]]</blockquote><p>[[35]]</p></div><div class="comments"><div><p>{20}</p></div><div><p>{15}</p></div></div><div id="footer">{10}</div></body>',
-    '<body><div class="cookie-notice">{18}<button>{1}</button></div><div><a>{2}</a> <a>{2}</a> <a>{1}</a></div><div><div><h2>[[5]]</h2><div>[[40]]</div><div>[[60]]</div></div></div><form><label>{2}</label><input></form><div><a>{3}</a><a>{4}</a></div></body>',
-    '<body><table><tr><td><a>{2}</a></td><td><a>{1}</a></td></tr></table><h1>[[8]]</h1><p>[[70]]<p>[[30]]<p>[[50]]<hr><p class="copyright">{8}</p></body>',
-    '<body><nav><a>{1}</a><a>{1}</a></nav><article><header><h1>[[6]]</h1></header><p>[[12]]</p></article><section class="related"><h3>{2}</h3><a>{6}</a><a>{5}</a></section><footer>{14}</footer></body>',
-    '<body><div><a>{1}</a> | <a>{1}</a> | <a>{1}</a></div><h1>[[4]]</h1><p>[[20]]</p><ul><li>[[6]]<li>[[9]] <a>[[1]]</a><li>[[12]]</ul><div class="promo">{6}</div><p>[[60]]</p><ol><li>[[10]]</li><li>[[15]]</li></ol></body>',
-    '<body><div class="banner">{10}</div><article><h2>[[3]]</h2><p>[[4]]</p></article><div>{7}</div><footer>{20}</footer></body>',
-    '<body><main><article><h1>[[5]]</h1><p>[[90]]</p><div class="share">{3}</div><pre>[[20]]</pre><p>[[40]]</p></article><section id="comments"><h2>{1}</h2><p>{30}</p></section></main></body>',
-)
+#: An element that ends an open one of the first group, unless one of the second has begun since.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+NO_TEXT = frozenset("svg math select object canvas video audio template noscript iframe datalist".split())
+FRAMES = frozenset(("article", "main"))
+#: Elements that say by their tag what they hold; of others only names, roles and links count.
+CONTAINERS = frozenset("article main section aside nav header footer form div menu dialog button fieldset label details head".split())
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|style|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])(?!\s*=)", re.IGNORECASE)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+BASE, LOW, HIGH, BESIDE, FRAME_SHARE, MANY_LINKS = 0.5, -4.0, 1.5, 2.5, 0.2, 3
+OUT = -100.0  # evidence that nothing outweighs
 
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, name or text, attributes) with kind '<', '>' or 't'. Comments and raw elements (scripts ...) are gone."""
-    out, at = [], 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(("t", page[at : m.start()], ""))
-        at = m.end()
-        name = m[3] or m[6]
-        if name:
-            out.append((">" if (m[2] or m[5]) else "<", name.lower(), (m[4] or m[7] or "")))
-    if at < len(page):
-        out.append(("t", page[at:], ""))
-    return out
-
-
-def outside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no article text."""
-    if name in OUTSIDE_TAGS or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if key == "role" and value.lower() in OUTSIDE_ROLES:
-            return True
-        if key in ("class", "id") and (OUTSIDE_NAMES.search(value) or (not in_article and HEADER_NAMES.search(value))):
-            return True
-    return False
-
-
-def placed(page: str) -> list[tuple[str, str, str]]:
-    """(kind, name or text, place): tokens with the place of each word. A place is a feature with a weight."""
-    found = tokens(page)
-    framed = any(k == "<" and n in ("article", "main") for k, n, _ in found)
-    out = []
-    stack: list[tuple[str, bool]] = []
-    shut = article = links = items = 0
-    for kind, name, attributes in found:
-        if kind == "t":
-            where = "article" if article else "beside" if framed else "free"
-            out.append((kind, name, f"{where} {'outside' if shut else 'link' if links else 'item' if items else 'plain'}"))
+class Element(NamedTuple):
+    name: str
+    attributes: str
+    parent: int  # -1 for the root
+    framed: bool
+
+
+class Page(NamedTuple):
+    """Tokens (kind '<', '>' or 't', with name or text, and the element that holds it) and, by element, its words, linked words and links."""
+
+    tokens: list[tuple[str, str, int]]
+    elements: list[Element]
+    words: list[int]
+    linked: list[int]
+    links: list[int]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) with kind '<', '>' or 't'. Comments and raw elements (scripts ...) are gone.
+
+    Linear: a quote from which no tag's end can be reached is remembered, so none is followed twice.
+    """
+    last = page.rfind(">")
+    hopeless: set[int] = set()
+    at = text = 0
+    while (at := page.find("<", at)) >= 0:
+        if at > last:
+            break
+        simple = SIMPLE_TAG.match(page, at)
+        if simple:
+            end, (closing, name, attributes) = simple.end(), simple.groups()
+        elif page.startswith("<!--", at):
+            if at > text:
+                yield "t", page[text:at], ""
+            found = page.find("-->", at + 2)
+            at = text = found + 3 if found >= 0 else len(page)
             continue
-        out.append((kind, name, ""))
-        if kind == "<":
-            if name in ("p", "li"):  # ends the one before
-                while stack and stack[-1][0] in ("p", "a", "span") and name == "p" and any(x[0] == "p" for x in stack[-3:]):
-                    gone, was = stack.pop()
-                    shut -= was
-                    links -= gone == "a"
-            if name in KEPT_OPEN and name not in VOID and not attributes.endswith("/"):
-                off = outside(name, attributes, article > 0)
-                stack.append((name, off))
-                shut += off
-                article += name in ("article", "main")
-                links += name == "a"
-                items += name == "li"
-        elif name in KEPT_OPEN and any(x[0] == name for x in reversed(stack)):
+        elif page.startswith(("<!", "<?"), at):
+            if at > text:
+                yield "t", page[text:at], ""
+            at = text = page.find(">", at) + 1
+            continue
+        else:
+            start = TAG_START.match(page, at)
+            if not start:
+                at += 1
+                continue
+            passed, end = [], start.end()
             while True:
-                gone, was = stack.pop()
-                shut -= was
-                article -= gone in ("article", "main")
-                links -= gone == "a"
-                items -= gone == "li"
-                if gone == name:
+                stop = STOP.search(page, end) if end <= last else None
+                if stop and stop[0] == ">":
+                    end = stop.end()
                     break
-    # a link is one of a menu only where its block is mostly links
-    block: list[int] = []
-    for i, (kind, name, place) in enumerate([*out, ("<", "body", "")]):
+                shut = page.find(stop[0], stop.end()) if stop and stop.start() not in hopeless else -1
+                if stop:
+                    passed.append(stop.start())
+                if shut < 0:
+                    hopeless.update(passed)
+                    end = page.find(">", start.end()) + 1
+                    break
+                end = shut + 1
+            if not end:
+                break
+            (closing, name), attributes = start.groups(), page[start.end() : end - 1]
+        if at > text:
+            yield "t", page[text:at], ""
+        at = text = end
+        name = name.lower()
+        if name in RAW_END:
+            if not closing:
+                found = RAW_END[name].search(page, at)
+                at = text = found.end() if found else len(page)
+            continue
+        yield (">" if closing else "<"), name, attributes
+    rest = page.find("<!--", max(at, text)) if at >= 0 else -1  # a comment without end
+    if text < (rest if rest >= 0 else len(page)):
+        yield "t", page[text : rest if rest >= 0 else len(page)], ""
+
+
+def parsed(page: str) -> Page:
+    """The elements of a page, with open ones on a stack; each is opened and closed once."""
+    out: list[tuple[str, str, int]] = []
+    elements = [Element("html", "", -1, False)]
+    words, linked, links = [0], [0], [0]
+    stack = [0]
+    places: dict[str, list[int]] = {}  # of open elements on the stack, by name
+    blocks = [0]  # places of open block elements other than p
+    in_links = 0
+
+    def innermost(*names: str) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def pop(to: int) -> None:
+        nonlocal in_links
+        while len(stack) > to:
+            gone = stack.pop()
+            e = elements[gone]
+            places[e.name].pop()
+            in_links -= e.name == "a"
+            if blocks[-1] == len(stack):
+                blocks.pop()
+            words[e.parent] += words[gone]
+            linked[e.parent] += linked[gone]
+            links[e.parent] += links[gone] + (e.name == "a")
+
+    for kind, name, attributes in tokens(page):
         if kind == "t":
-            block.append(i)
-        elif name in BLOCK:
-            linked = sum(len(out[j][1].split()) for j in block if out[j][2].endswith(" link"))
-            if linked and linked <= sum(len(out[j][1].split()) for j in block if out[j][2].endswith((" plain", " item"))):
-                for j in block:
-                    out[j] = (out[j][0], out[j][1], out[j][2].replace(" link", " plain"))
-            block = []
-    return out
+            n = len(name.split())
+            out.append((kind, name, stack[-1]))
+            words[stack[-1]] += n
+            if in_links:
+                linked[stack[-1]] += n
+            continue
+        if kind == "<":
+            if name in BLOCK and innermost("p") > blocks[-1]:
+                pop(innermost("p"))
+            if name in ENDS and innermost(*ENDS[name][0]) > innermost(*ENDS[name][1]):
+                pop(innermost(*ENDS[name][0]))
+            if name == "a" and places.get("a"):  # links do not nest
+                pop(places["a"][-1]) if places["a"][-1] > blocks[-1] else None
+            out.append((kind, name, stack[-1]))
+            if name not in VOID and not attributes.endswith("/"):
+                held = elements[stack[-1]]
+                elements.append(Element(name, attributes, stack[-1], held.framed or held.name in FRAMES))
+                for column in (words, linked, links):
+                    column.append(0)
+                places.setdefault(name, []).append(len(stack))
+                if name in BLOCK and name != "p":
+                    blocks.append(len(stack))
+                stack.append(len(elements) - 1)
+                in_links += name == "a"
+        else:
+            if places.get(name) and (name in BLOCK and name != "p" or places[name][-1] > blocks[-1]):
+                pop(places[name][-1])
+            out.append((kind, name, stack[-1]))
+    pop(1)
+    return Page(out, elements, words, linked, links)
+
+
+def name_features(value: str, kind: str) -> list[tuple[str, float]]:
+    """Features of a class or id, with their shares: the whole, and its parts, of which the last says most."""
+    parts = [p.lower() for p in NAME_PART.findall(value)]
+    if not parts:
+        return []
+    whole = "-".join(parts)
+    return [(f"whole {whole}", 0.0), *((f"part {p}", 1.0 if p == parts[-1] else 0.7) for p in dict.fromkeys(parts))]
+
+
+@cache
+def described(name: str, attributes: str, framed: bool, wraps: bool = False) -> tuple[tuple[str, ...], tuple[tuple[tuple[str, float], ...], ...], bool]:
+    """Of an element: the features of its tag and roles, those of each name it bears, and whether it shows no text.
+
+    A form that ``wraps`` most of the page is there for technical reasons and none by its tag.
+    """
+    plain, names, out = [], [], name in NO_TEXT
+    if name in CONTAINERS and not (wraps and name == "form"):
+        plain.append(f"tag {name}{' inside' if framed and name == 'header' else ''}")
+    if attributes and name not in ("html", "body"):
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id"):
+                names += [tuple(f) for v in value.split() if (f := name_features(v, key))]
+            elif key in ("role", "itemprop"):
+                plain.append(f"{key} {value.strip().lower()}")
+            else:
+                out = out or key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and bool(INVISIBLE.search(value)))
+    return tuple(plain), tuple(dict.fromkeys(names)), out
+
+
+def is_menu(page: Page, i: int) -> bool:
+    """Whether most words of a container are links, and these are several."""
+    return page.links[i] >= MANY_LINKS and page.linked[i] > 0.66 * page.words[i] and (page.elements[i].name in CONTAINERS or page.elements[i].name in ("ul", "ol", "table"))
+
+
+class Weights(NamedTuple):
+    features: dict[str, float]
+    tags: dict[str, float]
+
+    def own(self, name: str, attributes: str, framed: bool, wraps: bool = False) -> float:
+        """Evidence of an element itself. A name known as a whole speaks for itself; of others their parts speak."""
+        plain, names, out = described(name, attributes, framed, wraps)
+        if out:
+            return OUT
+        get = self.features.get
+        total = sum(get(f, 0.0) for f in plain)
+        for whole, *parts in names:
+            total += get(whole[0]) if whole[0] in self.features else sum(share * get(f, 0.0) for f, share in parts)
+        return total
+
+    def evidence(self, page: Page) -> list[float]:
+        """Of each element for its words, the root's own first; elements come after their parents."""
+        out: list[float] = []
+        known: dict[tuple[str, str, bool, bool], float] = {}
+        for i, (name, attributes, parent, framed) in enumerate(page.elements):
+            key = (name, attributes, framed, 2 * page.words[i] > page.words[0])
+            if key not in known:
+                known[key] = self.own(*key)
+            above, own = (out[parent] if parent >= 0 else BASE), known[key]
+            if above == OUT or own == OUT:
+                out.append(OUT)
+                continue
+            if is_menu(page, i):
+                own += self.features.get("links", 0.0)
+            out.append(max(LOW, min(HIGH, above + own)))
+        return out
 
 
 @cache
-def weights() -> tuple[dict[str, float], dict[str, float]]:
-    """Log odds of content for words by place and for tags by name, from the labelled pages.
+def weights() -> Weights:
+    """Log odds of content for the features of elements, by the labelled elements, and for tags by the words on both their sides.
 
-    A tag is content if the words on both its sides are. Tags score below zero: the odds only set how far.
+    An element counts for its words' kind, or for both kinds if each has a tenth of them. Tags score
+    below zero: the odds only set how far.
     """
-    words: dict[str, list[float]] = {}
+    seen: dict[str, list[float]] = {}
     tags: dict[str, list[float]] = {}
-    for page in LABELLED:
-        marked = re.sub(r"\[\[(\d+)\]\]", lambda m: "c " * int(m[1]), page)
-        marked = re.sub(r"\{(\d+)\}", lambda m: "o " * int(m[1]), marked)
-        seen = placed(marked)
-        kinds = [set(n.split()) for k, n, _ in seen if k == "t" and n.split()]
-        at = 0
-        for k, n, place in seen:
+    for source in LABELLED:
+        marked = re.sub(r"\[\[(\d+)\]\]", lambda m: "c " * int(m[1]), source)
+        page = parsed(re.sub(r"\{(\d+)\}", lambda m: "o " * int(m[1]), marked))
+        content = [0] * len(page.elements)
+        kinds, at = [set(t.split()) for k, t, _ in page.tokens if k == "t" and t.split()], 0
+        for k, t, i in page.tokens:
             if k == "t":
-                for w in n.split():
-                    words.setdefault(place, [0.5, 0.5])[w == "c"] += 1
-                at += bool(n.split())
+                content[i] += t.count("c")
+                at += bool(t.split())
             else:
                 inside = 0 < at < len(kinds) and "c" in kinds[at - 1] and "c" in kinds[at]
-                tags.setdefault(n, [0.5, 0.5])[inside] += 1
-    by_place = {p: max(-3.0, min(3.0, math.log(c / o))) for p, (o, c) in words.items()}
-    by_tag = {n: -0.02 - 0.3 / (1 + c / o) for n, (o, c) in tags.items()}
-    for place in ("article plain", "article item", "article link", "free plain"):
-        by_place[place] = max(by_place.get(place, 1.0), 0.5)
-    by_place["article outside"] = 0.0  # stays out, but does not part the article around it
-    by_place["free outside"] = -0.05
-    return by_place, by_tag
+                tags.setdefault(t, [0.5, 0.5])[inside] += 1
+        for i in range(len(page.elements) - 1, 0, -1):
+            content[page.elements[i].parent] += content[i]
+        for i, (name, attributes, _, framed) in enumerate(page.elements):
+            if i and page.words[i]:
+                share = content[i] / page.words[i]
+                plain, names, _ = described(name, attributes, framed, 2 * page.words[i] > page.words[0])
+                found = {*plain, *(f for parts in names for f, _ in parts), *(["links"] if is_menu(page, i) else [])}
+                for f in found:
+                    odds = seen.setdefault(f, [0.5, 0.5])
+                    odds[0] += share < 0.9
+                    odds[1] += share > 0.1
+    return Weights({f: math.log(c / o) for f, (o, c) in seen.items()}, {n: -0.02 - 0.3 / (1 + c / o) for n, (o, c) in tags.items()})
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -187,11 +306,25 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str) -> str:
+def main_text(source: str) -> str:
     """The page's article text: blocks joined by two line breaks."""
-    by_place, by_tag = weights()
-    seen = placed(page)
-    scores = [by_place.get(p, -0.5) * len(n.split()) if k == "t" else by_tag.get(n, -0.2) for k, n, p in seen]
+    by, page = weights(), parsed(source)
+    evidence = by.evidence(page)
+    inside = [e.framed or e.name in FRAMES for e in page.elements]
+    lengths = [len(t.split()) if k == "t" else 0 for k, t, _ in page.tokens]
+    good = [0, 0]
+    for (_, _, i), n in zip(page.tokens, lengths):
+        good[inside[i]] += n if evidence[i] > 0 else 0
+    if good[1] > FRAME_SHARE * sum(good):  # the page has an article, and other words lie beside it
+        evidence = [e if f else max(OUT, e - BESIDE) for e, f in zip(evidence, inside)]
+    scores = []
+    for (k, t, i), n in zip(page.tokens, lengths):
+        if evidence[i] <= 0 and inside[i]:  # what stays out of an article does not part it
+            scores.append(0.0)
+        elif k != "t":
+            scores.append(by.tags.get(t, -0.2))
+        else:
+            scores.append(n * (1 + min(1.0, evidence[i])) if evidence[i] > 0 else -0.05 * n)
     start, end = best_region(scores)
     blocks: list[str] = []
     parts: list[str] = []
@@ -202,19 +335,18 @@ def main_text(page: str) -> str:
             blocks.append(text)
         parts.clear()
 
-    for k, n, place in seen[start:end]:
+    for k, t, i in page.tokens[start:end]:
         if k == "t":
-            if place.endswith("outside"):
-                if n.strip():
-                    parts.append("\0")
-            else:
-                parts.append(n)
-        elif n in BLOCK:
+            if evidence[i] > 0:
+                parts.append(t)
+            elif t[:1].isspace() or t[-1:].isspace():
+                parts.append(" ")
+        elif t in BLOCK:
             close()
-        elif n in SPACED:
+        elif t in SPACED:
             parts.append(" ")
     close()
-    return "\n\n".join(b for x in blocks for b in (" ".join(y.split()) for y in x.split("\0")) if b)
+    return "\n\n".join(blocks)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -56,9 +57,42 @@ def test_best_region_equals_brute_force():
         assert sum(scores[a:b]) == max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1))])
 
 
-def test_weights_have_their_signs():
-    words, tags = op.weights()
-    assert all(w < 0 for w in tags.values()) and words["article plain"] > 0 > words["beside outside"] and words["free plain"] > 0 > words["free link"]
+def test_weights_are_learned_and_have_their_signs():
+    by = op.weights()
+    assert all(w < 0 for w in by.tags.values()) and by.features["tag article"] > 0 > by.features["tag nav"] and by.features["links"] < 0
+    assert by.own("div", ' class="content"', False) > 0 > by.own("div", ' class="post-comments"', False) > by.own("div", " hidden", False) == op.OUT
+
+
+WORDS = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div id="content" class="search-results-guide"><h1>Head</h1><p>{WORDS}</p></div>', f"Head\n\n{WORDS}"),
+    (f'<article><p>{WORDS}</p><div class="privacy-report">{WORDS}</div><p>End.</p></article>', f"{WORDS}\n\n{WORDS}\n\nEnd."),
+    ('<article><p>one two <span class="share">buy</span> three four</p></article>', "one two three four"),
+    ("<article><p>one\0two</p></article>", "one\0two"),
+    (f'<div class="page has-sidebar"><div class="sidebar"><p>{WORDS}</p></div><main><h1>Head</h1><p>Text here.</p></main></div>', "Head\n\nText here."),
+    (f'<article><h1>Head</h1><p>Text here.</p><div class="post-comments"><p>{WORDS}</p></div></article>', "Head\n\nText here."),
+    (f'<article class="teaser"><p>Short one.</p></article><div id="content"><p>{WORDS}</p><p>{WORDS}</p></div>', f"{WORDS}\n\n{WORDS}"),
+    (f'<form id="all"><div class="nav-menu"><a>a</a><a>b</a><a>c</a></div><div id="main"><p>{WORDS}</p></div></form>', WORDS),
+    (f'<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{WORDS}</p>', WORDS),
+    ('<p>a<wbr>b <svg><text>no</text></svg>c</p><p>x <b><i>y</b> z</i> <a href="u>v">w</a> <a title="open>q</a></p>', "ab c\n\nx y z w q"),
+    ("<!-- <p>no</p> --><p>yes</p><!-- open <p>no</p>", "yes"),
+    ("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl>", "a b\n\nc\n\nd\n\ne"),
+])
+def test_scores_not_words_decide(page, want):
+    assert op.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a "' * 250_000 + ">", '<a "<>"' * 130_000 + '"', "<div>" * 200_000, "<b>" * 300_000 + "<p>x" * 1000, "<!--" * 250_000, "<a class='" * 100_000, "<div>x" * 50_000 + "</p>" * 50_000 + "</div>" * 60_000, "<ul><li>" * 60_000])
+def test_time_grows_with_the_page(page):
+    """Pages of about a megabyte that would take minutes if their time grew with the square."""
+    began = time.process_time()
+    op.main_text(page)
+    whole = time.process_time() - began
+    began = time.process_time()
+    op.main_text(page[: len(page) // 8])
+    assert whole < 16 * (time.process_time() - began) + 0.5
 
 
 def test_nulls_repeats_long_and_clashes(spark):
