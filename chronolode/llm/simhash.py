@@ -27,7 +27,7 @@ from chronolode.plans.graph import connected_components
 from chronolode.session import cut_lineage
 
 #: Near-copy grouping: 64-bit words of a fingerprint, radii taken in turn, blocking keys, and the exact similarity of a link.
-WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56), 20, 3, 0.8
+WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56, 66), 20, 3, 0.8
 #: Texts of fewer distinct shingles have no telling fingerprint, so the radius does not apply to them.
 SHORT = 20
 CHUNK = 1024  # rows of a bucket that one side of a task holds, on average
@@ -389,10 +389,10 @@ def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII,
     """doc_id, component_id: documents grouped whose texts are equal or share ``similarity`` of their ``size``-word shingles.
 
     Similarity shows as differing bits of a 256-bit fingerprint of the distinct shingles: at 0.8, texts differ in 15 % of the bits, 39 on average; the
-    last radius of 56 is three standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
+    last radius of 66 is four to five standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
     pairs of all blocks make components, which only say which documents may be alike; within each of them documents are
-    compared exactly, in blocks of texts under ``SHORT`` shingles all are near, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. Rows with
-    a null id are left out.
+    compared exactly, in blocks of texts under ``SHORT`` shingles all are near, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. An id with
+    several texts is one document, with the links of all of them. Rows with a null id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,10 +420,13 @@ def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII,
     # a short text and its partners, whose size is within the similarity, have blocks of their own, where all are near
     short = placed.where(F.col("n_shingles") * similarity <= SHORT).select(F.xxhash64("band", "key", F.lit("short")).alias("key"), "node", *(F.lit(0).cast("long").alias(c) for c in fps))
     buckets = placed.where(F.col("n_shingles") >= SHORT).select(F.xxhash64("band", "key").alias("key"), "node", *fps).union(short)
-    near = connected_components(bucket_links(buckets, WORDS, radii, n_rows=BANDS * n))
-    # an id with several texts is one document; its least text stands for it
-    bodies = rows.join(near.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    groups = connected_components(alike(near, bodies, size, similarity))
+    # an id with several texts joins the nodes of all of them
+    text = F.struct("t0", "t1")
+    several = made.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id")
+    same = cut_lineage(made.join(several, "doc_id", "left_semi").join(texts.select("t0", "t1", "node"), ["t0", "t1"]).where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst")).distinct())
+    near = connected_components(bucket_links(buckets, WORDS, radii, n_rows=BANDS * n).union(same))
+    bodies = rows.join(near.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
+    groups = connected_components(alike(near, bodies, size, similarity).union(same))
     named = texts.select("t0", "t1", "node").join(groups, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "t0", "t1").join(named, ["t0", "t1"]).select("doc_id", "component_id")
 

@@ -141,3 +141,28 @@ def test_repeated_passages_and_short_texts_are_near_copies(spark):
     kept = {r.doc_id for r in op.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     pairs = {d for d, _ in rows if d % 4 == 0}
     assert kept == pairs
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, c = ([word() for _ in range(200)] for _ in range(3))
+    text = lambda t, *cut: " ".join(x for i, x in enumerate(t) if i not in cut)
+    rows = [(5, text(a)), (5, text(b)), (5, text(b)), (7, text(a, 3)), (8, text(b, 9)), (9, text(c)), (6, text(b)), (10, text(c, 4))]
+    got = {(r.doc_id, r.component_id) for r in op.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 5), (9, 9), (10, 9)}
+
+
+def test_pairs_just_at_the_similarity_are_linked(spark):
+    """Pairs of 20 to 300 shingles that share 0.8 of them, or the least above: none is lost to blocks or radius."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for g in range(1500):
+        both = rng.randrange(20, 300)
+        own = both // 4  # shingles of one text only, all at its end or half on each side
+        shared = [word() for _ in range(both + 4)]
+        left = own // 2 if g % 2 else 0
+        rows += [(2 * g, " ".join(shared + [word() for _ in range(left)])), (2 * g + 1, " ".join([word() for _ in range(own - left)] + shared))]
+    kept = [r.doc_id for r in op.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == list(range(0, 3000, 2))
