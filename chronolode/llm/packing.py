@@ -132,8 +132,49 @@ def pack_lengths(lengths: list[int], window: int = WINDOW, unit: int = UNIT) ->
 PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-^`{-~]*)")
 
 
+# How a tokenizer must normalise and split for its chunks to be encoded one by one.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def groups(texts: list[str], most: int = 2048, chars: int = 1 << 22) -> Iterator[list[str]]:
+    """Runs of at most ``most`` texts and, but for single longer ones, ``chars`` characters."""
+    held, size = [], 0
+    for t in texts:
+        if held and (len(held) == most or size + len(t) > chars):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+class WholeTokenizer:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by any tokenizer of the library, text by text."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for part in groups(texts, 256):
+            for e in self.model.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        pass
+
+
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a table of chunks between blanks.
+    """The same by a table of chunks between blanks, for tokenizers that normalise and split as ``CHUNKED`` says.
 
     The tokenizer never joins text across white space, or letters with signs, so a text's ids are its chunks' ids in a
     row and a plain chunk's those of its word and its signs. New plain words are encoded together, by the same
@@ -141,16 +182,12 @@ class ChunkTokenizer:
     The table past its bound becomes the old one, from which what is met again is taken over.
     """
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, model, bare: dict) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            bare = json.load(f)
+        self.model = model
         split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}}
+        bare = bare | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -193,21 +230,33 @@ class ChunkTokenizer:
         known.update([(c, known[w] + known[s]) for c, w, s in made])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 2048):
+        for part in groups(texts):
             if len(self.known) > TABLE:
                 self.known, self.old = {"": b""}, self.known
-            parts = [t.replace("\n", " ").split(" ") for t in texts[at : at + 2048]]
+            parts = [t.replace("\n", " ").split(" ") for t in part]
             self.learn(set().union(*parts).difference(self.known))
             get = self.known.__getitem__
             for p in parts:
                 yield b"".join(map(get, p))
 
 
-def worker_tokenizer(path: str) -> ChunkTokenizer:
+def text_tokenizer(path: str) -> ChunkTokenizer | WholeTokenizer:
+    """The tokenizer of a ``tokenizers`` file; by chunks where its way of splitting text is known to allow that."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    fits = all(described.get(k) == v for k, v in CHUNKED.items()) and described["model"].get("end_of_word_suffix") == "</w>"
+    return ChunkTokenizer(model, described) if fits else WholeTokenizer(model)
+
+
+def worker_tokenizer(path: str) -> ChunkTokenizer | WholeTokenizer:
     """The worker's tokenizer for ``path``; with its tables it lasts as long as the worker, over all its tasks."""
     kept = sys.modules.setdefault("_chronolode_worker", types.ModuleType("_chronolode_worker")).__dict__
     if path not in kept:
-        kept[path] = ChunkTokenizer(path)
+        kept[path] = text_tokenizer(path)
     return kept[path]
 
 

@@ -27,6 +27,7 @@ from chronolode.llm.tables import read
 from chronolode.session import cut_lineage
 
 POOLED, DIAGONAL, RIDGE, PRIOR_WORDS = 0.3, 0.1, 1e-4, 20
+SENT_LABELS = 1 << 20  # this many labels, 16 MB of numbers, are sent to meet the documents; more meet their statistics
 STATISTICS = (
     "log_words", "log_word_length", "word_length_spread", "log_line_words", "letters", "digits", "symbols", "stops", "upper",
     "distinct_words", "repeated_next", "top_word", "repeated_lines", "symbol_ends", "entropy", "short_words",
@@ -138,13 +139,22 @@ def training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def fit_labelled(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
-    """The model of all labelled training rows of ``rows`` (doc_id, x): sums by class, combined on the map side."""
+def training_labels(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, y: a row a labelled training document."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & training(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
+    return known.groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
+
+
+def fit_labelled(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
+    """The model of all labelled training rows of ``rows`` (doc_id, x)."""
+    return fit_taught(rows.join(training_labels(labels, label_col, id_col), "doc_id"))
+
+
+def fit_taught(rows: DataFrame) -> Model:
+    """The model of ``rows`` (y, x): sums by class, combined on the map side."""
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    taught = cut_lineage(rows.join(known, "doc_id").select("y", "x"))
+    taught = cut_lineage(rows.select("y", "x"))
     means = taught.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d))).first()
     center = np.array([means[i] or 0.0 for i in range(d)])
     words = F.expm1(F.col("x")[0])
@@ -181,9 +191,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold``.
 
-    One pass fits the model and one filters; rows stay where they are, so no text is exchanged.
+    One pass fits the model, over the labelled documents, and one filters; rows stay where they are, so no text is exchanged.
     """
-    model = fit_labelled(document_statistics(docs, id_col, text_col), labels, id_col=id_col)
+    known = cut_lineage(training_labels(labels, id_col=id_col))
+    taught = docs.select(id_col, text_col)
+    if known.count() <= SENT_LABELS:
+        taught = taught.join(F.broadcast(known.select(F.col("doc_id").alias("_known"))), F.col(id_col).cast("long") == F.col("_known"), "left_semi")
+    model = fit_taught(document_statistics(taught, id_col, text_col).join(known, "doc_id"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

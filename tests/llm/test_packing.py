@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from chronolode.llm import packing as op
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "Straße ÉTÉ été İstanbul ﬁn K don't it's WE'LL l'été naïve123 a_b (x) \t\x0b　日本 ½ Ǆ", "", "  ", "a\n\n b", "É́ x́.", "word,word. w!? 12,5 a-b ­İ",
-    "σΣ ΣΑΣ ͅ x\x1cy\u0085z", "\0a ퟿ 🙂🙂 ''' 's 'S '", "ß ẞ ÿ Ÿ µ ª º",
+    "σΣ ΣΑΣ ͅ x\x1cy\u0085z", "\0a ퟿ 🙂🙂 ''' 's 'S '", "ß ẞ ÿ Ÿ µ ª º", "a<|endoftext|>b <|startoftext|>. <|ENDOFTEXT|>",
 ]
 
 
@@ -22,11 +23,43 @@ def test_chunks_equal_the_whole_tokenizer(monkeypatch):
     whole = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
     for limit in (10**6, 50):
         monkeypatch.setattr(op, "TABLE", limit)
-        tokenizer = op.ChunkTokenizer(PATH)
+        tokenizer = op.text_tokenizer(PATH)
+        assert isinstance(tokenizer, op.ChunkTokenizer)
         got = [x for at in range(0, len(texts), 100) for x in tokenizer.ids(texts[at : at + 100])]
         assert got == [np.array(e.ids, "<u4").tobytes() for e in whole]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, name):
+    path = public_tokenizers.path(name)
+    texts = [*ODD, "Two  blanks,\n\nand don't join ' s"]
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    rows = op.packed_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert isinstance(op.text_tokenizer(path), op.WholeTokenizer) and {r.doc_id: r.doc_tokens for r in rows} == {i: len(w) for i, w in enumerate(want)}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_whole_table(spark):
+    """Every id of every document, as the tokenizer gives it, in one piece; sequences full or powers of two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: [*e.ids, 1] for r, e in zip(docs, Tokenizer.from_file(PATH).encode_batch([r.text or "" for r in docs], add_special_tokens=False))}
+    rows = op.op7_packing(spark, "/root/testdata/sf0.01").collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert (len(part), zlib.crc32(part.tobytes()), len(ids[r.doc_id])) == (r.length, r.ids_crc32, r.doc_tokens)
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    ends = lambda spans: [at + n for at, n in sorted(spans)]
+    assert all([at for at, _ in sorted(p)] == [0, *ends(p)[:-1]] and ends(p)[-1] == len(ids[d]) for d, p in pieces.items()) and set(pieces) == set(ids)
+    assert all([at for at, _ in sorted(s)] == [0, *ends(s)[:-1]] and (ends(s)[-1] == 2048 or ends(s)[-1].bit_count() == 1) for s in sequences.values())
+
+
+def test_groups_are_bounded():
+    assert list(op.groups(["a" * 9, "b", "c" * 3, "d" * 3, "e", "f"], 2, 5)) == [["a" * 9], ["b", "c" * 3], ["d" * 3, "e"], ["f"]] and list(op.groups([])) == []
+
+
 def check(lengths, sequences, window):
     pieces = {}
     for s in sequences:

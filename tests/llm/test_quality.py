@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +55,25 @@ def test_few_labels_nulls_and_empty_tables(spark):
     import zlib
 
     assert trained == [i for i in (1, 2, 3, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
+def test_the_query_equals_brute_force(spark):
+    """Class sums by numpy over the labelled training rows, then the same densities for every row."""
+    small = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in read(spark, small, "documents", "doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in read(spark, small, "labels", "doc_id", "quality").collect()}
+    x = {d: np.array(op.statistics(t)) for d, t in texts.items()}
+    taught = [d for d in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    center = np.mean([x[d] for d in taught], axis=0)
+    drawn = {y: op.drawn(np.array([x[d] for d in taught if labels[d] == y]), center) for y in (0, 1)}
+    model = op.fit([float(len(drawn[y])) for y in (0, 1)], [drawn[y].sum(0) for y in (0, 1)], [drawn[y].T @ drawn[y] for y in (0, 1)], center)
+    want = dict(zip(x, model.scores(np.array(list(x.values())))))
+    got = {r.doc_id: r for r in op.op10_quality_classifier(spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d].score - want[d]) < 1e-6 and got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d in want)
+
+
+def test_accepted_with_many_labels_is_the_same(spark, monkeypatch):
+    docs, labels = (read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    few = sorted(r.doc_id for r in op.accepted(docs, labels).collect())
+    monkeypatch.setattr(op, "SENT_LABELS", 0)
+    assert sorted(r.doc_id for r in op.accepted(docs, labels).collect()) == few and 0 < len(few) < 1000

@@ -48,3 +48,28 @@ def test_fisher_yates_is_a_seeded_permutation():
     assert sorted(a) == list(range(1000)) and a == op.fisher_yates(1000, 1) != op.fisher_yates(1000, 2) and op.fisher_yates(0, 1) == []
     first = Counter(op.fisher_yates(4, s)[0] for s in range(4000))
     assert all(900 < n < 1100 for n in first.values())
+
+
+def test_equal_rows_part(spark, monkeypatch):
+    """A row that is a third of the table spreads over the buckets, with and without other columns that differ."""
+    monkeypatch.setattr(op, "HOT_ROWS", 100)
+    monkeypatch.setattr(op, "BUCKETS_EACH", 8)
+    rows = [(1, "hot text", 0)] * 3000 + [(None, "hot too", i) for i in range(1500)] + [(i, f"own {i}", 0) for i in range(3000, 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    out = op.shard_documents(df, 5, shared_path(spark, "t"), bucket_bytes=2000).collect()
+    gapless, counts = slots_are_gapless(out, "_shard", "_slot")
+    assert gapless and max(counts.values()) - min(counts.values()) <= 1
+    assert Counter((r.doc_id, r.text, r.extra) for r in out) == Counter(rows)
+    # hot rows are in every shard about as often as elsewhere
+    for text in ("hot text", "hot too"):
+        share = Counter(r._shard for r in out if r.text == text)
+        assert set(share) == set(range(5)) and max(share.values()) < 1.25 * min(share.values())
+    again = op.shard_documents(df.repartition(7), 5, shared_path(spark, "t"), bucket_bytes=2000).collect()
+    key = lambda r: (r._shard, r._slot, str(r.doc_id), r.text, r.extra)
+    assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_columns_of_any_type(spark):
+    df = spark.createDataFrame([(i % 3, "t", {"a": i}, [i]) for i in range(50)], "doc_id long, text string, m map<string,int>, `a.b` array<int>")
+    out = op.shard_documents(df, 4, shared_path(spark, "t"), bucket_bytes=20)
+    assert sorted(r["a.b"][0] for r in out.collect()) == list(range(50))
