@@ -19,15 +19,21 @@ def matching_files(model: RepoModel, extension: str = "", path_filter: str | Non
     return files
 
 
+def touched(rows: DataFrame, files: DataFrame, model: RepoModel) -> DataFrame:
+    """Of ``rows`` those on ``files``; where these are a part of all, the others go before anything is joined or summed."""
+    return rows if files is model.files else rows.join(files.select("file_id"), "file_id", "left_semi")
+
+
 def change_frequency(model: RepoModel, since_ms: int | None = None, extension: str = "", path_filter: str = "%", top_n: int = 20) -> DataFrame:
     """The most often changed files that have metrics: path, n, first and last commit of all time, metrics.
 
-    One aggregation gives both the count in the window and the ages of all time; dimensions join after it.
+    One aggregation gives both the count in the window and the ages of all time; other dimensions join after it.
     """
     inside = F.lit(True) if since_ms is None else F.col("author_date") >= since_ms
-    touches = model.file_changes.join(model.commits.select("commit_id", "author_date"), "commit_id")
+    files = matching_files(model, extension, path_filter)
+    touches = touched(model.file_changes, files, model).join(model.commits.select("commit_id", "author_date"), "commit_id")
     per_file = touches.groupBy("file_id").agg(F.count_if(inside).alias("n"), F.min("author_date").alias("first_ms"), F.max("author_date").alias("last_ms")).where("n > 0")
-    rows = per_file.join(model.file_metrics, "file_id").join(matching_files(model, extension, path_filter), "file_id")
+    rows = per_file.join(model.file_metrics, "file_id").join(files, "file_id")
     return rows.orderBy(F.desc("n"), "path").limit(top_n)
 
 
@@ -45,18 +51,20 @@ def hotspots(model: RepoModel, now_ms: int, top_n: int = 20, since_ms: int | Non
 def churn(model: RepoModel, top_n: int = 20, since_ms: int | None = None, extension: str = "", path_filter: str = "%") -> DataFrame:
     """Files with metrics by lines added and deleted."""
     added, deleted = F.col("lines_added").cast("long"), F.col("lines_deleted").cast("long")
-    per_file = model.touches(since_ms).groupBy("file_id").agg(
+    files = matching_files(model, extension, path_filter)
+    per_file = touched(model.touches(since_ms), files, model).groupBy("file_id").agg(
         F.sum(added).alias("linesAdded"), F.sum(deleted).alias("linesDeleted"), F.sum(added + deleted).alias("churn"), F.count_distinct("commit_id").cast("int").alias("changeFrequency")
     )
-    rows = per_file.where("churn > 0").join(model.file_metrics.select("file_id"), "file_id", "left_semi").join(matching_files(model, extension, path_filter), "file_id")
+    rows = per_file.where("churn > 0").join(model.file_metrics.select("file_id"), "file_id", "left_semi").join(files, "file_id")
     return rows.select(F.col("path").alias("filePath"), "linesAdded", "linesDeleted", "churn", "changeFrequency").orderBy(F.desc("churn"), "filePath").limit(top_n)
 
 
 def stale_files(model: RepoModel, now_ms: int, top_n: int = 20, min_days_stale: int = 180, extension: str = "", path_filter: str = "%") -> DataFrame:
     """Files untouched for ``min_days_stale`` days, by age and complexity, scored over the 3 ``top_n`` oldest."""
     now = F.lit(now_ms).cast("long")
-    per_file = model.touches().groupBy("file_id").agg(F.max("author_date").alias("last_ms"), F.min("author_date").alias("first_ms")).where(F.col("last_ms") <= now_ms - min_days_stale * DAY_MS)
-    oldest = per_file.join(matching_files(model, extension, path_filter), "file_id").orderBy("last_ms", "path").limit(3 * top_n)
+    files = matching_files(model, extension, path_filter)
+    per_file = touched(model.touches(), files, model).groupBy("file_id").agg(F.max("author_date").alias("last_ms"), F.min("author_date").alias("first_ms")).where(F.col("last_ms") <= now_ms - min_days_stale * DAY_MS)
+    oldest = per_file.join(files, "file_id").orderBy("last_ms", "path").limit(3 * top_n)
     rows = oldest.join(model.file_metrics.select("file_id", "loc", "cyclomatic_complexity"), "file_id", "left")
     rows = rows.withColumns({"loc": F.coalesce("loc", F.lit(0)), "cyclomatic_complexity": F.coalesce("cyclomatic_complexity", F.lit(-1)), "days": whole_days(now, F.col("last_ms"))})
     return scored(rows, F.col("days")).select(

@@ -10,6 +10,7 @@ from chronolode.operators.people import require_path
 from chronolode.plans.coupling import coupling_since
 from chronolode.plans.graph import connected_components
 from chronolode.plans.model import RepoModel
+from chronolode.session import cut_lineage
 
 EDGE_CAP = 10_000
 
@@ -53,7 +54,8 @@ def file_coupling(model: RepoModel, file_path: str | None, top_n: int = 10, min_
     a, b = target.withColumnRenamed("file_id", "file_a_id"), target.withColumnRenamed("file_id", "file_b_id")
     left = pairs.join(a, "file_a_id", "left_semi").select(F.col("file_b_id").alias("file_id"), "co_changes", F.col("total_changes_a").alias("t"), F.col("total_changes_b").alias("p"), "r")
     right = pairs.join(b, "file_b_id", "left_semi").select(F.col("file_a_id").alias("file_id"), "co_changes", F.col("total_changes_b").alias("t"), F.col("total_changes_a").alias("p"), "r")
-    rows = left.union(right).join(model.files, "file_id")
+    # since a date the pairs have the target on the left alone
+    rows = (left.union(right) if since_ms is None else left).join(model.files, "file_id")
     return rows.select(
         F.col("path").alias("partnerPath"), F.col("co_changes").alias("coChanges"), F.col("t").alias("targetTotalChanges"), F.col("p").alias("partnerTotalChanges"), F.col("r").alias("couplingRatio")
     ).orderBy(F.desc("couplingRatio"), F.desc("coChanges"), "partnerPath").limit(top_n)
@@ -146,8 +148,25 @@ def cluster_of_file(model: RepoModel, file_path: str, min_coupling: float = 0.3,
 def cluster_of_file_edges(model: RepoModel, file_path: str, min_coupling: float = 0.3, since_ms: int | None = None) -> DataFrame:
     pairs = pair_ratios(model, since_ms, smaller=False)
     strong = pairs.where(F.col("r") >= min_coupling)
-    labels = connected_components(strong, "file_a_id", "file_b_id")
-    seed = model.files.where(F.col("path") == file_path).select(F.col("file_id").alias("node"))
-    mine = labels.join(labels.join(seed, "node", "left_semi").select("component"), "component", "left_semi").select("node")
+    mine = reachable(strong, model.files.where(F.col("path") == file_path).select(F.col("file_id").alias("node")))
     inside = (pairs if since_ms is None else strong).join(mine.withColumnRenamed("node", "file_a_id"), "file_a_id", "left_semi").join(mine.withColumnRenamed("node", "file_b_id"), "file_b_id", "left_semi")
     return _named_edges(inside, model)
+
+
+def reachable(edges: DataFrame, seed: DataFrame, rounds: int = 30) -> DataFrame:
+    """node: the nodes of ``edges`` in the component of the one in ``seed``; none where no edge has it.
+
+    A frontier grows from the seed, so the work is that of the component. One that is still growing after ``rounds``, a long chain,
+    is taken from the components of the whole graph, whose rounds are few.
+    """
+    pairs = edges.select(F.col("file_a_id").alias("u"), F.col("file_b_id").alias("v"))
+    both = cut_lineage(pairs.union(pairs.select("v", "u")))
+    seen = frontier = cut_lineage(seed.join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi"))
+    for _ in range(rounds):
+        next_ = both.join(frontier.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).distinct()
+        frontier = cut_lineage(next_.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut_lineage(seen.union(frontier))
+    labels = connected_components(both, "u", "v")
+    return labels.join(labels.join(seed, "node", "left_semi").select("component"), "component", "left_semi").select("node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolode.functions.scalar import extension, like_any_case
@@ -50,3 +50,17 @@ def summary_top_authors(model: RepoModel, top_n: int = 5) -> DataFrame:
 
 def language_distribution(model: RepoModel) -> DataFrame:
     return model.files.groupBy(extension(F.col("path")).alias("extension")).agg(F.count(F.lit(1)).cast("int").alias("fileCount")).orderBy(F.desc("fileCount"), "extension")
+
+
+def summary(model: RepoModel) -> DataFrame:
+    """The whole summary in one row: the scalars and the three lists."""
+
+    def listed(rows: DataFrame, name: str, order: list) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))  # a few rows: five, or one an extension
+        one = rows.select(F.struct(place.alias("place"), F.struct(*rows.columns).alias("row")).alias("x"))
+        return one.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["row"]).alias(name))
+
+    files = listed(summary_top_files(model), "topChangedFiles", [F.desc("changeFrequency"), F.col("filePath")])
+    authors = listed(summary_top_authors(model), "topAuthors", [F.desc("commits"), F.col("email")])
+    languages = listed(language_distribution(model), "languageDistribution", [F.desc("fileCount"), F.col("extension")])
+    return summary_scalars(model).crossJoin(files).crossJoin(authors).crossJoin(languages)

@@ -9,7 +9,12 @@ MAX_PATHS = 50
 
 
 def build_coupling(file_changes: DataFrame, commits: DataFrame, max_paths: int = MAX_PATHS) -> DataFrame:
-    """file_a_id < file_b_id, co_changes and both files' total changes.
+    """file_a_id < file_b_id, co_changes and both files' total changes."""
+    return with_totals(pair_counts(file_changes, commits, max_paths), file_changes)
+
+
+def pair_counts(file_changes: DataFrame, commits: DataFrame, max_paths: int = MAX_PATHS) -> DataFrame:
+    """file_a_id < file_b_id, co_changes.
 
     Pairs come from commits that are no merges and touch at most ``max_paths`` files, which bounds each commit's
     pairs; totals count every change row. Pairs are made inside a commit's row, so they are combined before
@@ -20,8 +25,7 @@ def build_coupling(file_changes: DataFrame, commits: DataFrame, max_paths: int =
     plain = sizes.join(commits.where(~F.coalesce("is_merge", F.lit(False))).select("commit_id"), "commit_id", "left_semi").select("commit_id")
     sets = touched.join(plain, "commit_id").groupBy("commit_id").agg(F.sort_array(F.collect_list("file_id")).alias("f"))
     pairs = sets.select(F.posexplode("f").alias("i", "file_a_id"), "f").select("file_a_id", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("file_b_id"))
-    counted = pairs.groupBy("file_a_id", "file_b_id").agg(F.count(F.lit(1)).cast("int").alias("co_changes"))
-    return with_totals(counted, file_changes)
+    return pairs.groupBy("file_a_id", "file_b_id").agg(F.count(F.lit(1)).cast("int").alias("co_changes"))
 
 
 def with_totals(pairs: DataFrame, file_changes: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.functions.scalar import is_binary_path, line_count, ticket_slug
-from chronolode.plans.complexity import complexity_metrics
+from chronolode.functions.scalar import is_binary_path, ticket_slug
+from chronolode.plans.complexity import file_metrics
 from chronolode.plans.coupling import MAX_PATHS, build_coupling
 from chronolode.plans.model import RepoModel
 from chronolode.plans.renames import resolve_renames
@@ -40,23 +41,24 @@ def build_changes(raw_commits: DataFrame, raw_entries: DataFrame) -> DataFrame:
     )
 
 
-def build_metrics(files: DataFrame, working_tree: DataFrame, analyzed_at_ms: int) -> DataFrame:
+def build_metrics(files: DataFrame, working_tree: DataFrame, analyzed_at_ms: int, failures: Accumulator | None = None) -> DataFrame:
     """Metrics of the tracked files that are in the working tree (path, content): line counts, complexity for Java."""
     tracked = working_tree.join(files.select("path"), "path", "left_semi")
-    counts = tracked.select("path", line_count(F.decode("content", "ISO-8859-1")).alias("loc")).where("loc is not null")
-    java = complexity_metrics(tracked)
-    joined = counts.withColumnRenamed("loc", "byte_loc").join(java, "path", "left")
-    return joined.select(
-        file_id(F.col("path")).alias("file_id"), F.when(F.col("path").endswith(".java"), F.col("loc")).otherwise(F.col("byte_loc")).alias("loc"),
-        F.coalesce("cyclomatic_complexity", F.lit(-1)).alias("cyclomatic_complexity"), F.coalesce("cognitive_complexity", F.lit(-1)).alias("cognitive_complexity"),
-        F.lit(analyzed_at_ms).cast("long").alias("analyzed_at"),
-    )
+    return file_metrics(tracked, failures).select(
+        file_id(F.col("path")).alias("file_id"), "loc", "cyclomatic_complexity", "cognitive_complexity", F.lit(analyzed_at_ms).cast("long").alias("analyzed_at")
+    )
 
 
-def build_model(raw_commits: DataFrame, raw_entries: DataFrame, working_tree: DataFrame, now_ms: int, mailmap: DataFrame | None = None, max_paths: int = MAX_PATHS) -> RepoModel:
-    """A full build; it replaces whatever was there, so a second build of the same input changes nothing."""
-    commits = build_commits(raw_commits, mailmap)
+def build_history(raw_commits: DataFrame, raw_entries: DataFrame, mailmap: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """commits, files and file_changes."""
     named = build_changes(raw_commits, raw_entries)
     files = named.select("path").distinct().select(file_id(F.col("path")).alias("file_id"), "path")
-    changes = named.select("commit_id", file_id(F.col("path")).alias("file_id"), "lines_added", "lines_deleted")
-    return RepoModel(commits, files, changes, build_metrics(files, working_tree, now_ms), build_coupling(changes, commits, max_paths))
+    return build_commits(raw_commits, mailmap), files, named.select("commit_id", file_id(F.col("path")).alias("file_id"), "lines_added", "lines_deleted")
+
+
+def build_model(
+    raw_commits: DataFrame, raw_entries: DataFrame, working_tree: DataFrame, now_ms: int, mailmap: DataFrame | None = None, max_paths: int = MAX_PATHS, failures: Accumulator | None = None
+) -> RepoModel:
+    """A full build; it replaces whatever was there, so a second build of the same input changes nothing."""
+    commits, files, changes = build_history(raw_commits, raw_entries, mailmap)
+    return RepoModel(commits, files, changes, build_metrics(files, working_tree, now_ms, failures), build_coupling(changes, commits, max_paths))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolode.functions.scalar import basename, extension, is_binary_path, line_count, ticket_slug
 from chronolode.operators import changes, coupling, overview, people
+from chronolode.plans.complexity import file_metrics
 from chronolode.plans.coupling import build_coupling
 from chronolode.plans.renames import resolve_renames
 from chronolode.session import cut_lineage, shared_path
@@ -83,8 +84,11 @@ def q_cluster_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cluster_file_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of a file of the strongest recent pair."""
     m = stored_coupling(spark, sf_dir)
-    return coupling.cluster_of_file_edges(m, seed_path(m, smaller=False), 0.2, since_ms=SINCE_MS).select("fileA", "fileB", "coChanges", "couplingRatio")
+    top = coupling.pair_ratios(m, SINCE_MS, smaller=False).orderBy(F.desc("r"), "file_a_id", "file_b_id").limit(1)
+    seed = top.join(m.files, F.col("file_id") == F.col("file_a_id")).first()
+    return coupling.cluster_of_file_edges(m, seed["path"] if seed else "-", 0.2, since_ms=SINCE_MS).select("fileA", "fileB", "coChanges", "couplingRatio")
 
 
 def q_file_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +111,13 @@ def q_slug_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_mailmap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations are commit identities, regions the proper ones."""
+    """Nations are commit identities, regions the proper ones; the four forms of a line in turn."""
     nations = starschema.table(spark, sf_dir, "nation").join(starschema.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = [f"{r.r_name} <{r.r_name.lower()}@example.org> <{r.n_name.upper()}@EXAMPLE.com>" for r in nations.orderBy("n_nationkey").limit(25).collect()]
+    lines = ["# nations", ""]
+    for r in nations.orderBy("n_nationkey").collect():  # a mailmap is a file that the driver reads
+        commit, proper = f"<{r.n_name.upper()}@EXAMPLE.com>", f"<{r.r_name.lower()}@example.org>"
+        forms = (f"{r.r_name} {commit}", f"{proper} {commit}", f"{r.r_name} {proper} {commit}", f"{r.r_name} {proper} {r.n_name.lower()} {commit}")
+        lines += [forms[r.n_nationkey % 4], f"Too Late <late@example.org> {commit}"]
     commits = starschema.commits(spark, sf_dir).select("hash", F.col("author_name").alias("raw_name"), F.col("author_email").alias("raw_email"))
     return resolve_identities(commits, mailmap_frame(spark, lines)).select("hash", "author_name", "author_email")
 
@@ -123,14 +131,51 @@ def q_binary_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("path", is_binary_path(F.col("path")).alias("is_binary"), basename(F.col("path")).alias("basename"), extension(F.col("path")).alias("extension"))
 
 
-RENAME_ROWS = [
-    (1, "a/F", "A"), (2, "a/F", "M"), (3, "a/F", "D"), (3, "b/F", "A"), (4, "b/F", "M"), (5, "b/F", "D"), (5, "c/F", "A"), (6, "a/F", "A"), (7, "a/F", "M"),
-    (8, "x/G", "A"), (9, "y/G", "A"), (10, "x/G", "D"), (10, "y/G", "A"), (11, "p/H", "A"), (12, "p/H", "D"), (12, "q/H", "A"), (12, "r/H", "A"), (13, "c/F", "M"),
-]
+def rename_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of each part's file: made, renamed once or twice, changed under old and new names, made anew, or with two candidates."""
+    p, part = F.col("p_partkey"), starschema.table(spark, sf_dir, "part")
+    kinds = [  # which parts, commit after the part's first, path, status
+        (F.lit(True), 0, "a", "A"), (p % 2 == 0, 1, "a", "M"), (p % 3 == 0, 2, "a", "D"), (p % 3 == 0, 2, "b", "A"), (p % 5 == 0, 3, "b", "M"),
+        (p % 6 == 0, 4, "b", "D"), (p % 6 == 0, 4, "c", "A"), (p % 4 == 0, 5, "a", "A"), (p % 4 == 0, 6, "a", "M"), (p % 9 == 0, 4, "d", "A"), (p % 12 == 0, 7, "c", "D"), (p % 12 == 0, 7, "a", "A"), (p % 7 == 0, 8, "c", "M"),
+    ]
+    moves = F.array(*(F.when(which, F.struct((p * 10 + at).alias("ord"), F.concat(F.lit(f"{folder}/f"), p.cast("string")).alias("path"), F.lit(status).alias("status"))) for which, at, folder, status in kinds))
+    return part.select(F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m")).select("m.ord", "m.path", "m.status")
 
 
 def q_rename_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_renames(spark.createDataFrame(RENAME_ROWS, "ord long, path string, status string"))
+    return resolve_renames(rename_entries(spark, sf_dir)).distinct()
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a class for each part, with a method of as many conditions as its size says and one of nested loops; text for others."""
+    size = F.col("p_size")
+    java = F.concat(
+        F.lit("class C {\n  /* if (x) { */\n  int f(int a) {\n"), F.repeat(F.lit('    if (a > 0) { g("if ("); }\n'), size % 9), F.lit("    return a;\n  }\n  void h(boolean b, boolean c) {\n"),
+        F.repeat(F.lit("for (;;) {\n"), size % 4), F.lit("k(b && c);\n"), F.repeat(F.lit("}\n"), size % 4), F.lit("  }\n}\n"),
+    )
+    is_java = size % 5 == 0
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.when(is_java, ".java").otherwise(".txt"))
+    return starschema.table(spark, sf_dir, "part").select(path.alias("path"), F.when(is_java, java).otherwise(F.concat(F.col("p_name"), F.repeat(F.lit("\n"), size % 7))).cast("binary").alias("content"))
+
+
+def q_incremental_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the index opened anew before each increment, and an increment that comes twice."""
+    merges = starschema.commits(spark, sf_dir).select("commit_id", "is_merge")
+    rows = starschema.file_changes(spark, sf_dir).join(merges, "commit_id").withColumn("part", F.col("commit_id") % 3)
+    at = shared_path(spark, "reopened")
+    for part in (0, 1, 1, 2):
+        IncrementalIndex(spark, at, MAX_PATHS).absorb(rows.where(F.col("part") == part).drop("part"))
+    return IncrementalIndex(spark, at, MAX_PATHS).coupling()
+
+
+def q_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of each cluster in their order."""
+    clusters = coupling.coupling_clusters(stored_coupling(spark, sf_dir), 0.07, min_size=3, max_size=150, top_n=20)
+    return clusters.select("clusterIndex", F.posexplode("edges").alias("place", "e")).select("clusterIndex", "place", "e.*")
+
+
+def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.summary(model(spark, sf_dir)).select(F.to_json(F.struct("*")).alias("json"))
 
 
 def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +221,9 @@ def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top authors as JSON text, a row each."""
-    return overview.summary_top_authors(model(spark, sf_dir)).select(F.to_json(F.struct("name", "email", "commits")).alias("json"))
+    """Commits as JSON text with their null fields, a row each."""
+    commits = starschema.commits(spark, sf_dir).select(F.struct("hash", "author_date", "first_line", "jira_slug", "is_merge").alias("x"))
+    return commits.select(F.to_json("x", {"ignoreNullFields": "false"}).alias("json"))
 
 
 QUERIES = {
@@ -219,6 +265,10 @@ QUERIES = {
     "binary_class": q_binary_class,
     "rename_resolve": q_rename_resolve,
     "incremental_equals_full": q_incremental,
+    "incremental_reopened": q_incremental_reopened,
+    "file_metrics": lambda s, d: file_metrics(java_sources(s, d)),
+    "cluster_edges": q_cluster_edges,
+    "summary": q_summary,
 }
 
 BASE = r"""WITH RECURSIVE commits AS (
@@ -349,7 +399,17 @@ SELECT hash, any_value(author_date) AS "authorDate", any_value(first_line) AS "f
 FROM picked JOIN file_changes USING (commit_id) JOIN files USING (file_id) GROUP BY hash"""
 
 
-_RENAME_VALUES = ", ".join(f"({o}, '{p}', '{s}')" for o, p, s in RENAME_ROWS)
+RENAME_ENTRIES = """parts AS (SELECT p_partkey::BIGINT AS p FROM part),
+raw(ord, path, status) AS (SELECT p * 10, 'a/f' || p, 'A' FROM parts
+  UNION ALL SELECT p * 10 + 1, 'a/f' || p, 'M' FROM parts WHERE p % 2 = 0
+  UNION ALL SELECT p * 10 + 2, unnest(['a/f' || p, 'b/f' || p]), unnest(['D', 'A']) FROM parts WHERE p % 3 = 0
+  UNION ALL SELECT p * 10 + 3, 'b/f' || p, 'M' FROM parts WHERE p % 5 = 0
+  UNION ALL SELECT p * 10 + 4, unnest(['b/f' || p, 'c/f' || p]), unnest(['D', 'A']) FROM parts WHERE p % 6 = 0
+  UNION ALL SELECT p * 10 + 5, 'a/f' || p, 'A' FROM parts WHERE p % 4 = 0
+  UNION ALL SELECT p * 10 + 6, 'a/f' || p, 'M' FROM parts WHERE p % 4 = 0
+  UNION ALL SELECT p * 10 + 4, 'd/f' || p, 'A' FROM parts WHERE p % 9 = 0
+  UNION ALL SELECT p * 10 + 7, unnest(['c/f' || p, 'a/f' || p]), unnest(['D', 'A']) FROM parts WHERE p % 12 = 0
+  UNION ALL SELECT p * 10 + 8, 'c/f' || p, 'M' FROM parts WHERE p % 7 = 0)"""
 
 SQL = {
     "hotspots": _hotspots(20, "true", "true"),
@@ -376,7 +436,8 @@ WHERE file_id = (SELECT file_id FROM seed) GROUP BY author_email ORDER BY "commi
     "cluster_file": BASE + CLUSTER_SEED + f"""mine AS (SELECT node FROM labels WHERE cluster = (SELECT file_id FROM seed))
 {EDGE_COLUMNS} FROM file_coupling JOIN files fa ON fa.file_id = file_a_id JOIN files fb ON fb.file_id = file_b_id
 WHERE file_a_id IN (FROM mine) AND file_b_id IN (FROM mine)""",
-    "cluster_file_since": BASE + CLUSTER_SEED + _labelled("recent_coupling", 0.2, "_r") + f"""
+    "cluster_file_since": BASE + _labelled("recent_coupling", 0.2, "_r") + f"""
+seed AS (SELECT file_a_id AS file_id FROM recent_coupling ORDER BY co_changes::DOUBLE / greatest(total_changes_a, total_changes_b)::DOUBLE DESC, file_a_id, file_b_id LIMIT 1),
 mine AS (SELECT node FROM labels_r WHERE cluster = (SELECT cluster FROM labels_r WHERE node = (SELECT file_id FROM seed)))
 {EDGE_COLUMNS} FROM edges_r JOIN files fa ON fa.file_id = file_a_id JOIN files fb ON fb.file_id = file_b_id
 WHERE file_a_id IN (FROM mine) AND file_b_id IN (FROM mine)""",
@@ -406,19 +467,40 @@ SELECT max(author_name) AS name, author_email AS email, CAST(count(*) AS INTEGER
 SELECT coalesce(nullif(regexp_extract(path, '[.][^.]*$'), ''), '(no ext)') AS extension, CAST(count(*) AS INTEGER) AS "fileCount" FROM files GROUP BY 1""",
     "slug_extract": BASE + "dummy AS (SELECT 1) SELECT hash, first_line, jira_slug AS slug FROM commits",
     "mailmap_resolve": BASE + """dummy AS (SELECT 1)
-SELECT hash, r_name AS author_name, lower(r_name) || '@example.org' AS author_email FROM commits JOIN nation ON n_name = author_name JOIN region ON r_regionkey = n_regionkey""",
+SELECT hash, CASE WHEN n_nationkey % 4 = 1 THEN n_name ELSE r_name END AS author_name, CASE WHEN n_nationkey % 4 = 0 THEN author_email ELSE lower(r_name) || '@example.org' END AS author_email
+FROM commits JOIN nation ON n_name = author_name JOIN region ON r_regionkey = n_regionkey""",
     "loc_count": "SELECT doc_id, CAST(CASE WHEN contains(text, chr(0)) THEN NULL WHEN text = '' THEN 0 ELSE 1 + length(text) - length(replace(text, chr(10), '')) END AS INTEGER) AS loc FROM documents",
     "binary_class": BASE + r"""p AS (SELECT path || CASE WHEN file_id % 3 = 0 THEN '.PNG' ELSE '' END AS path FROM files)
 SELECT path, path LIKE '%.PNG' AS is_binary, regexp_extract(path, '[^/]*$') AS basename, coalesce(nullif(regexp_extract(path, '[.][^.]*$'), ''), '(no ext)') AS extension FROM p""",
-    "rename_resolve": f"""WITH RECURSIVE e(ord, path, status) AS (SELECT ord::BIGINT, path, status FROM (VALUES {_RENAME_VALUES}) t(ord, path, status)),
+    "rename_resolve": f"""WITH RECURSIVE {RENAME_ENTRIES},
+e AS (SELECT DISTINCT ord, path, status, regexp_extract(path, '[^/]*$') AS base FROM raw),
 pairs AS (SELECT ord, max(path) FILTER (status = 'D') AS old, max(path) FILTER (status = 'A') AS new FROM e WHERE status IN ('A', 'D')
-  GROUP BY ord, regexp_extract(path, '[^/]*$') HAVING count(*) FILTER (status = 'D') = 1 AND count(*) FILTER (status = 'A') = 1),
-renames AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.path = p.new AND e.ord < p.ord)),
-kept AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.ord = e.ord AND r.old = e.path AND e.status = 'D')),
+  GROUP BY ord, base HAVING count(*) FILTER (status = 'D') = 1 AND count(*) FILTER (status = 'A') = 1),
+firsts AS (SELECT path, min(ord) AS first_ord FROM e GROUP BY path),
+renames AS (SELECT p.* FROM pairs p JOIN firsts ON path = new WHERE first_ord >= ord),
+kept AS (SELECT e.ord, e.path, e.status FROM e LEFT JOIN renames r ON r.ord = e.ord AND r.old = e.path AND e.status = 'D' WHERE r.ord IS NULL),
 walk(ord, path, now, since, hop) AS (SELECT DISTINCT ord, path, path, ord, 0 FROM kept
   UNION ALL SELECT w.ord, w.path, r.new, r.ord + 1, w.hop + 1 FROM walk w JOIN renames r ON r.old = w.now AND r.ord >= w.since
-    AND r.ord = (SELECT min(x.ord) FROM renames x WHERE x.old = w.now AND x.ord >= w.since) WHERE w.hop < 20)
-SELECT ord, path, status, (SELECT arg_max(now, hop) FROM walk w WHERE w.ord = kept.ord AND w.path = kept.path) AS final_path FROM kept""",
+    WHERE NOT EXISTS (SELECT 1 FROM renames x WHERE x.old = w.now AND x.ord >= w.since AND x.ord < r.ord)),
+ends AS (SELECT ord, path, arg_max(now, hop) AS final_path FROM walk GROUP BY ord, path)
+SELECT ord, path, status, final_path FROM kept JOIN ends USING (ord, path)""",
+    "file_metrics": """SELECT 'src/p' || p_partkey || CASE WHEN p_size % 5 = 0 THEN '.java' ELSE '.txt' END AS path,
+  CAST(CASE WHEN p_size % 5 = 0 THEN 9 + p_size % 9 + 2 * (p_size % 4) ELSE 1 + p_size % 7 END AS INTEGER) AS loc,
+  CAST(CASE WHEN p_size % 5 = 0 THEN greatest(1 + p_size % 9, 2 + p_size % 4) ELSE -1 END AS INTEGER) AS cyclomatic_complexity,
+  CAST(CASE WHEN p_size % 5 = 0 THEN greatest(p_size % 9, 1 + (p_size % 4) * (p_size % 4 + 1) // 2) ELSE -1 END AS INTEGER) AS cognitive_complexity FROM part""",
+    "cluster_edges": BASE + _labelled("file_coupling", 0.07) + """named AS (SELECT cluster, fa.path AS a, fb.path AS b, co_changes, r FROM edges JOIN labels ON node = file_a_id JOIN files fa ON fa.file_id = file_a_id JOIN files fb ON fb.file_id = file_b_id),
+members AS (SELECT cluster, count(*) AS n, min(path) AS least_path FROM (SELECT cluster, a AS path FROM named UNION SELECT cluster, b FROM named) GROUP BY cluster),
+means AS (SELECT cluster, avg(r) AS m FROM named GROUP BY cluster),
+picked AS (SELECT cluster, CAST(row_number() OVER (ORDER BY m DESC, least_path) AS INTEGER) AS "clusterIndex" FROM members JOIN means USING (cluster) WHERE n BETWEEN 3 AND 150 ORDER BY m DESC, least_path LIMIT 20)
+SELECT "clusterIndex", CAST(row_number() OVER (PARTITION BY cluster ORDER BY r DESC, a, b) - 1 AS INTEGER) AS place, a AS "fileA", b AS "fileB", co_changes AS "coChanges", r AS "couplingRatio" FROM named JOIN picked USING (cluster)""",
+    "summary": BASE + """frequent AS (SELECT path, CAST(count(*) AS INTEGER) AS n FROM file_changes JOIN files USING (file_id) JOIN file_metrics USING (file_id) GROUP BY path ORDER BY n DESC, path LIMIT 5),
+authors AS (SELECT max(author_name) AS name, author_email AS email, CAST(count(*) AS INTEGER) AS commits FROM commits GROUP BY author_email ORDER BY count(*) DESC, email LIMIT 5),
+languages AS (SELECT coalesce(nullif(regexp_extract(path, '[.][^.]*$'), ''), '(no ext)') AS extension, CAST(count(*) AS INTEGER) AS "fileCount" FROM files GROUP BY 1)
+SELECT CAST(to_json(struct_pack("totalCommits" := count(*), "uniqueAuthors" := count(DISTINCT author_email), "totalFilesTracked" := (SELECT count(DISTINCT file_id) FROM file_changes),
+  "filesWithMetrics" := (SELECT count(*) FROM file_metrics), "earliestCommitMs" := coalesce(min(author_date), 0), "latestCommitMs" := coalesce(max(author_date), 0),
+  "topChangedFiles" := (SELECT list(struct_pack("filePath" := path, "changeFrequency" := n) ORDER BY n DESC, path) FROM frequent),
+  "topAuthors" := (SELECT list(struct_pack(name := name, email := email, commits := commits) ORDER BY commits DESC, email) FROM authors),
+  "languageDistribution" := (SELECT list(struct_pack(extension := extension, "fileCount" := "fileCount") ORDER BY "fileCount" DESC, extension) FROM languages))) AS VARCHAR) AS json FROM commits""",
 }
 SQL["upsert_replace"] = BASE + "dummy AS (SELECT 1) SELECT * REPLACE (CAST(loc + CASE WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS loc) FROM file_metrics"
 SQL["upsert_add"] = BASE + "dummy AS (SELECT 1) SELECT file_id, count(*)::BIGINT AS n FROM file_changes GROUP BY file_id"
@@ -426,6 +508,6 @@ SQL["append_new"] = BASE + "dummy AS (SELECT 1) SELECT commit_id, hash FROM comm
 SQL["delete_and_rename"] = BASE + "dummy AS (SELECT 1) SELECT file_id, CASE WHEN path LIKE '%.py' THEN path || 'i' ELSE path END AS path FROM files WHERE path NOT LIKE '%.xml'"
 SQL["lookup"] = BASE + "dummy AS (SELECT 1) SELECT commit_id, hash, author_email FROM commits WHERE commit_id < 600 AND commit_id % 3 = 0"
 SQL["to_json"] = BASE + """dummy AS (SELECT 1)
-SELECT CAST(to_json(struct_pack(name := max(author_name), email := author_email, commits := CAST(count(*) AS INTEGER))) AS VARCHAR) AS json
-FROM commits GROUP BY author_email ORDER BY count(*) DESC, author_email LIMIT 5"""
+SELECT CAST(to_json(struct_pack(hash := hash, author_date := author_date, first_line := first_line, jira_slug := jira_slug, is_merge := is_merge)) AS VARCHAR) AS json FROM commits"""
 SQL["incremental_equals_full"] = SQL["coupling_build"]
+SQL["incremental_reopened"] = SQL["coupling_build"]

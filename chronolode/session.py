@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ def build_session(app: str = "chronolode", master: str | None = None, shuffle_pa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -27,7 +29,8 @@ def build_session(app: str = "chronolode", master: str | None = None, shuffle_pa
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, as in local tests, a temporary folder is made, used and removed at exit.
+    Where it is unset in a local session, as in tests, a temporary folder is made, used and removed at exit; on a cluster,
+    whose executors could not reach such a folder, that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -36,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="chronolode-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(f"file://{made}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 from typing import Any
@@ -12,8 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronolode.schema import RAW_COMMITS, RAW_ENTRIES
 
-MARK = "\x1e"
 SPLITS = 8
+_HASH = re.compile(r"[0-9a-f]{40}(?:[0-9a-f]{24})?")
+_COUNTS = re.compile(r"(\d+|-)\t(\d+|-)\t(.*)", re.DOTALL)
 
 
 def git(repo: str, *args: str) -> str:
@@ -21,7 +24,8 @@ def git(repo: str, *args: str) -> str:
 
 
 def default_branch(repo: str) -> str | None:
-    """The tip to walk: main, master, or else HEAD; None for a repository without commits."""
+    """The tip to walk: main, master, or else HEAD; None for a repository without commits. What is no repository is an error."""
+    git(repo, "rev-parse", "--git-dir")
     for name in ("refs/heads/main", "refs/heads/master", "HEAD"):
         found = subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "rev-parse", "-q", "--verify", f"{name}^{{commit}}"], capture_output=True)
         if not found.returncode:
@@ -29,6 +33,11 @@ def default_branch(repo: str) -> str | None:
     return None
 
 
+def is_ancestor(repo: str, old: str, new: str) -> bool:
+    """Whether all that ``old`` has is in ``new``; not so after a branch was written anew."""
+    return not subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "merge-base", "--is-ancestor", old, new], capture_output=True).returncode
+
+
 def working_paths(repo: str) -> Iterator[str]:
     """Regular files below ``repo``, those of ``.git`` aside. Spark's own file listing leaves out names with a leading dot or dash below."""
     for folder, names, found in os.walk(repo):
@@ -39,6 +48,11 @@ def working_paths(repo: str) -> Iterator[str]:
                 yield os.path.relpath(path, repo)
 
 
+def as_text(path: str) -> str:
+    """A path of the file system as git's output gives it; bytes that are no UTF-8 are replaced."""
+    return os.fsencode(path).decode("utf-8", "replace")
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, hashes: list[str]) -> None:
         self.first, self.hashes = first, hashes
@@ -47,11 +61,12 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.repo, self.stop, self.table = options["path"], options.get("stop"), options.get("table", "commits")
+        self.names = json.loads(options["names"]) if "names" in options else None
 
     def partitions(self) -> list[InputPartition]:
         """The commits, oldest first, in equal ranges, so that each task diffs its own."""
         if self.table == "tree":
-            paths = sorted(working_paths(self.repo))
+            paths = sorted(working_paths(self.repo)) if self.names is None else [n for n in self.names if os.path.isfile(p := os.path.join(self.repo, n)) and not os.path.islink(p)]
             size = max(1, -(-len(paths) // SPLITS))
             return [_Range(i, paths[i : i + size]) for i in range(0, len(paths), size)] or [_Range(0, [])]
         tip = default_branch(self.repo)
@@ -66,40 +81,45 @@ class _Reader(DataSourceReader):
         if self.table == "tree":
             for path in partition.hashes:
                 with open(os.path.join(self.repo, path), "rb") as f:
-                    yield path, f.read()
+                    yield as_text(path), f.read()
             return
         for at in range(0, len(partition.hashes), 500):
             some = partition.hashes[at : at + 500]
-            form = f"--format={MARK}%H%x1f%at%x1f%an%x1f%ae%x1f%P%x1f%s"
-            diff = ["--no-renames", "-w", "--diff-merges=first-parent", "--root", "--raw", "--numstat", "-z"] if self.table == "entries" else ["-s"]
-            text = git(self.repo, "log", "--no-walk=unsorted", form, *diff, *some)
-            for k, part in enumerate(text.split(MARK)[1:]):
-                head, _, rest = part.partition("\0" if self.table == "entries" else "\n")
-                hash_, at_s, name, email, parents, subject = head.strip("\n").split("\x1f", 5)
-                if self.table == "commits":
-                    yield hash_, partition.first + at + k, int(at_s) * 1000, name, email, subject.strip("\0\n"), len(parents.split())
-                else:
-                    yield from self.entries(hash_, rest)
-
-    @staticmethod
-    def entries(hash_: str, text: str) -> Iterator[tuple]:
-        """Raw lines give every path; numstat lacks those of which only white space changed."""
-        status: dict[str, str] = {}
-        lines: dict[str, tuple[int, int]] = {}
-        fields = iter(text.strip("\n").split("\0"))
-        for f in fields:
-            f = f.lstrip("\n")
-            if f.startswith(":"):
-                status[next(fields)] = {"A": "A", "D": "D"}.get(f.split(" ")[4][0], "M")
-            elif f.count("\t") == 2:
-                added, deleted, path = f.split("\t")
-                lines[path] = (int(added) if added.isdigit() else 0, int(deleted) if deleted.isdigit() else 0)
-        for path, s in status.items():
-            yield hash_, path, s, *lines.get(path, (0, 0))
+            if self.table == "commits":
+                # fields and records end with NUL, which none of them can hold
+                fields = git(self.repo, "log", "--no-walk=unsorted", "-s", "-z", "--format=%H%x00%at%x00%an%x00%ae%x00%P%x00%s", *some).split("\0")
+                for k in range(len(some)):
+                    hash_, at_s, name, email, parents, subject = fields[6 * k : 6 * k + 6]
+                    yield hash_, partition.first + at + k, int(at_s) * 1000, name, email, subject, len(parents.split())
+            else:
+                diff = ["--no-renames", "-w", "--diff-merges=first-parent", "--root", "--raw", "--numstat", "-z"]
+                yield from entries(git(self.repo, "log", "--no-walk=unsorted", "--format=%H", *diff, *some))
+
+
+def entries(text: str) -> Iterator[tuple]:
+    """Changes from NUL-ended hashes, raw records with a path after each, and line counts with theirs.
+
+    Raw records give every path; counts lack those of which only white space changed.
+    """
+    hash_, status, lines = "", {}, {}
+    fields = iter(text.split("\0"))
+    for f in fields:
+        f = f.lstrip("\n")
+        counts = _COUNTS.fullmatch(f)
+        if f.startswith(":"):
+            status[next(fields)] = {"A": "A", "D": "D"}.get(f.split(" ")[4][0], "M")
+        elif counts:
+            lines[counts[3]] = tuple(int(n) if n.isdigit() else 0 for n in counts.groups()[:2])
+        elif _HASH.fullmatch(f.strip("\n")):
+            for path, s in status.items():
+                yield hash_, path, s, *lines.get(path, (0, 0))
+            hash_, status, lines = f.strip("\n"), {}, {}
+    for path, s in status.items():
+        yield hash_, path, s, *lines.get(path, (0, 0))
 
 
 class GitLog(DataSource):
-    """``spark.read.format("gitlog").option("path", ...)``; option ``table``: commits, entries or tree; option ``stop``: a hash already read."""
+    """``spark.read.format("gitlog").option("path", ...)``; option ``table``: commits, entries or tree; option ``stop``: a hash already read; option ``names``: of a tree, a JSON list of the files to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -119,7 +139,8 @@ def read_git(spark: SparkSession, repo: str, stop: str | None = None) -> tuple[D
     return reader("commits"), reader("entries")
 
 
-def read_working_tree(spark: SparkSession, repo: str) -> DataFrame:
-    """path, content of the files below ``repo``."""
+def read_working_tree(spark: SparkSession, repo: str, names: list[str] | None = None) -> DataFrame:
+    """path, content of the files below ``repo``, or of those among ``names`` that are there."""
     spark.dataSource.register(GitLog)
-    return spark.read.format("gitlog").options(path=repo, table="tree").load()
+    only = {} if names is None else {"names": json.dumps(names)}
+    return spark.read.format("gitlog").options(path=repo, table="tree", **only).load()

@@ -34,9 +34,10 @@ def mailmap_frame(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
 
 
 def read_mailmap(spark: SparkSession, working_tree: DataFrame) -> DataFrame | None:
-    """The ``.mailmap`` at the top of a working tree (path, content), or None; a file of a few lines."""
-    found = working_tree.where(F.col("path") == ".mailmap").select(F.decode("content", "UTF-8")).first()
-    return mailmap_frame(spark, found[0].splitlines()) if found and parse_mailmap(found[0].splitlines()) else None
+    """The ``.mailmap`` at the top of a working tree (path, content; best read by that name alone), or None; a file of a few lines."""
+    found = working_tree.where(F.col("path") == ".mailmap").select("content").first()
+    lines = bytes(found[0]).decode("utf-8", "replace").splitlines() if found else []
+    return mailmap_frame(spark, lines) if parse_mailmap(lines) else None
 
 
 def resolve_identities(people: DataFrame, mailmap: DataFrame) -> DataFrame:

@@ -12,10 +12,19 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolode.sources.files import VersionLog
+
+MOST_PARTS = 50
+
+
+def new_rows(stored: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """Those of ``rows`` whose key ``stored`` lacks; one row a key."""
+    return rows.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+
 
 def append_new(stored: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """``stored`` and those of ``rows`` whose key is not there yet; one row a key of them."""
-    return stored.unionByName(rows.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti"))
+    return stored.unionByName(new_rows(stored, rows, *keys))
 
 
 def upsert_replace(stored: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
@@ -55,29 +64,46 @@ def lookup(table: DataFrame, column: str, values: Iterable[Any]) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table below ``path`` with numbered versions; the newest complete one is current."""
+    """A Parquet table below ``path`` in numbered versions, kept over restarts; the newest complete one is current.
+
+    A version is a list of folders. An append adds one, and other changes write one with all rows; after ``MOST_PARTS`` appends the
+    folders are joined. The version before the current one stays readable, older ones go.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema, self.version = spark, path, schema, -1
+        self.spark, self.schema, self.log = spark, schema, VersionLog(spark, path)
 
-    def read(self) -> DataFrame:
-        if self.version < 0:
+    def _read(self, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+        return self.spark.read.schema(self.schema).parquet(*map(self.log.at, parts))
+
+    def _write(self, rows: DataFrame) -> str:
+        name = self.log.fresh("part")
+        rows.write.parquet(self.log.at(name))
+        return name
+
+    def read(self) -> DataFrame:
+        return self._read(self.log.content.get("parts", []))
 
     def replace(self, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        self.log.commit({"parts": [self._write(rows)]})
         return self.read()
 
     def append(self, rows: DataFrame) -> DataFrame:
-        return self.replace(self.read().unionByName(rows))
+        parts = [*self.log.content.get("parts", []), self._write(rows.select(*self.read().columns))]
+        if len(parts) > MOST_PARTS:
+            parts = [self._write(self._read(parts))]
+        self.log.commit({"parts": parts})
+        return self.read()
 
     def append_new(self, rows: DataFrame, *keys: str) -> DataFrame:
-        return self.replace(append_new(self.read(), rows, *keys))
+        """Appends those of ``rows`` whose key is not there yet, one row a key."""
+        return self.append(new_rows(self.read(), rows, *keys))
 
     def upsert(self, rows: DataFrame, *keys: str) -> DataFrame:
         return self.replace(upsert_replace(self.read(), rows, *keys))
 
     def clear(self) -> DataFrame:
-        return self.replace(self.read().limit(0))
+        self.log.commit({"parts": []})
+        return self.read()

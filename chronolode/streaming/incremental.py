@@ -5,46 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolode.plans.coupling import MAX_PATHS, build_coupling, with_totals
+from chronolode.plans.coupling import MAX_PATHS, pair_counts, with_totals
 from chronolode.session import shared_path
+from chronolode.sources.files import VersionLog
 
-
-def merge_coupling(stored: DataFrame | None, delta: DataFrame, file_changes: DataFrame) -> DataFrame:
-    """Stored pair counts with a delta's added; totals come from all change rows, so they can't drift."""
-    pairs = delta.select("file_a_id", "file_b_id", "co_changes")
-    if stored is not None:
-        pairs = pairs.unionByName(stored.select("file_a_id", "file_b_id", "co_changes"))
-    return with_totals(pairs.groupBy("file_a_id", "file_b_id").agg(F.sum("co_changes").cast("int").alias("co_changes")), file_changes)
+CHANGES = "commit_id long, is_merge boolean, file_id long, lines_added int, lines_deleted int"
+PAIRS = "file_a_id long, file_b_id long, co_changes int"
+MOST_PARTS = 50
 
 
 class IncrementalIndex:
-    """Change rows and coupling kept as Parquet versions; each commit is taken in once, however often it arrives.
+    """Change rows and pair counts of increments, kept over restarts; each commit is taken in once, however often it arrives.
 
-    A batch writes a new version beside the last and then makes it current, so a failed or repeated batch
-    leaves the index as it was. A commit must arrive within one batch.
+    A batch writes its own changes and pair counts beside those of earlier ones and then makes them current, so its work grows with the batch,
+    and a failed or repeated batch leaves the index as it was. ``coupling`` adds the counts up. After ``MOST_PARTS``
+    batches the parts are joined. A commit must arrive within one batch.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_paths: int = MAX_PATHS) -> None:
-        self.spark, self.path, self.max_paths, self.version = spark, path, max_paths, -1
+        self.spark, self.max_paths, self.log = spark, max_paths, VersionLog(spark, path)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        parts = self.log.content.get(name, [])
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*map(self.log.at, parts))
 
-    def _table(self, name: str) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.path}/v{self.version}/{name}")
+    def _write(self, name: str, rows: DataFrame) -> str:
+        folder = self.log.fresh(name)
+        rows.write.parquet(self.log.at(folder))
+        return folder
 
     def absorb(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Takes in rows of commit_id, is_merge, file_id, lines_added, lines_deleted."""
-        known, stored = self._table("changes"), self._table("coupling")
-        fresh = batch if known is None else batch.join(known.select("commit_id").distinct(), "commit_id", "left_anti")
-        at = f"{self.path}/v{self.version + 1}"
-        (fresh if known is None else known.unionByName(fresh)).write.mode("overwrite").parquet(f"{at}/changes")
-        delta = build_coupling(fresh, fresh.select("commit_id", "is_merge").distinct(), self.max_paths)
-        merge_coupling(stored, delta, self.spark.read.parquet(f"{at}/changes")).write.mode("overwrite").parquet(f"{at}/coupling")
-        self.version += 1
+        fresh = batch.join(self.changes().select("commit_id").distinct(), "commit_id", "left_anti").select(*self.changes().columns)
+        changes = self._write("changes", fresh)
+        written = self.spark.read.schema(CHANGES).parquet(self.log.at(changes))
+        pairs = self._write("pairs", pair_counts(written, written.select("commit_id", "is_merge").distinct(), self.max_paths))
+        now = {"changes": [*self.log.content.get("changes", []), changes], "pairs": [*self.log.content.get("pairs", []), pairs]}
+        self.log.commit(now)
+        if len(now["pairs"]) > MOST_PARTS:
+            self.log.commit({"changes": [self._write("changes", self.changes())], "pairs": [self._write("pairs", self.pairs())]})
 
-    def coupling(self) -> DataFrame:
-        return self._table("coupling")
+    def pairs(self) -> DataFrame:
+        """file_a_id, file_b_id, co_changes over all increments."""
+        return self._table("pairs", PAIRS).groupBy("file_a_id", "file_b_id").agg(F.sum("co_changes").cast("int").alias("co_changes"))
 
     def changes(self) -> DataFrame:
-        return self._table("changes")
+        return self._table("changes", CHANGES)
+
+    def coupling(self) -> DataFrame:
+        """Pair counts with the totals of all change rows, so these can't drift."""
+        return with_totals(self.pairs(), self.changes())
 
     def run_available(self, landing: str, schema: str, checkpoint: str | None = None) -> None:
         """Streams what has landed in ``landing`` through ``absorb``, a file a micro-batch, and stops."""

@@ -4,7 +4,7 @@ import pytest
 from repo_frames import HOUR, JAVA_NESTED, JAVA_PLAIN, NOW, START, history
 
 from chronolode.operators import changes, coupling, overview, people
-from chronolode.plans.engine import Engine, IndexStatus, NotReady
+from chronolode.plans.engine import Engine, IndexStatus
 from chronolode.plans.ingest import build_changes
 from chronolode.plans.model import RepoModel
 from chronolode.plans.renames import resolve_renames
@@ -148,15 +148,14 @@ def test_stale_files(spark):
 def test_summary_and_status(spark):
     m = history(spark, [{"paths": ["Main.java", "Helper.java"]}, {"paths": ["Main.java"]}, {"paths": ["Main.java"]}])
     engine = Engine(spark, now_ms=NOW)
-    with pytest.raises(NotReady, match="not_started"):
-        engine.call("get_summary")
-    with pytest.raises(NotReady):
-        engine.call("get_coupling_clusters")
+    for name in set(engine.requests) - {"get_index_status", "refresh_index"}:
+        assert engine.call(name, filePath="x") == ("Index not ready (status: not_started). Call get_index_status to check progress.", True)
+    assert json.loads(engine.call("get_index_status").text) == {"status": "not_started"}
     engine = Engine(spark, m, now_ms=NOW)
-    got = json.loads(engine.call("get_summary"))
+    got = json.loads(engine.call("get_summary").text)
     assert (got["totalCommits"], got["totalFilesTracked"], got["uniqueAuthors"], got["earliestCommitMs"], got["latestCommitMs"]) == (3, 2, 1, START, START + 2 * HOUR)
     assert got["languageDistribution"] == [{"extension": ".java", "fileCount": 2}] and got["topChangedFiles"][0] == {"filePath": "Main.java", "changeFrequency": 3}
-    assert json.loads(engine.call("get_hotspots", topN=1))[0]["path"] == "Main.java"
+    assert json.loads(engine.call("get_hotspots", topN=1).text)[0]["path"] == "Main.java"
     status = IndexStatus()
     assert status.as_dict() == {"status": "not_started"}
     status.begin(5)
@@ -167,6 +166,41 @@ def test_summary_and_status(spark):
     assert status.as_dict() == {"status": "error", "startedAtMs": 5, "errorMessage": "boom"}
 
 
+def test_answers_and_errors(spark, abc):
+    engine = Engine(spark, abc, now_ms=NOW)
+    got = json.loads(engine.call("get_file_commit_history", filePath="src/A.java", limit=1.0, sinceEpochMs=None, other="x").text)
+    assert len(got) == 1 and got[0]["jiraSlug"] is None and list(got[0]) == ["hash", "authorDate", "firstLine", "jiraSlug", "filesChanged"]
+    for name in ("get_file_commit_history", "get_file_authors", "get_file_coupling"):
+        assert engine.call(name) == engine.call(name, filePath=" ") == ("filePath is required", True)
+        assert engine.call(name, filePath="nope") == ("[]", False)
+    assert engine.call("get_ownership", ownershipBy="banana").is_error and "banana" in engine.call("get_ownership", ownershipBy="banana").text
+    assert engine.call("get_nothing") == ("Unknown request: get_nothing", True)
+    wrong = engine.call("get_hotspots", topN="many")
+    assert wrong.is_error and wrong.text.startswith("get_hotspots failed: ")
+    broken = RepoModel(abc.commits.drop("author_date"), abc.files, abc.file_changes, abc.file_metrics, abc.file_coupling)
+    assert Engine(spark, broken).call("get_churn", sinceEpochMs=1).text.startswith("get_churn failed: ")
+    clusters = json.loads(engine.call("get_coupling_clusters", minClusterSize=2, filePath="").text)
+    assert clusters[0]["clusterIndex"] == 1 and set(clusters[0]["edges"][0]) == {"fileA", "fileB", "coChanges", "couplingRatio"}
+
+
+def test_filters_go_before_sums(spark, abc):
+    """With a path filter the change table meets the files before it is aggregated."""
+    plans = [changes.churn(abc, path_filter="src/A%"), changes.hotspots(abc, NOW, extension=".java"), changes.stale_files(abc, NOW, extension=".java"), people.ownership(abc, path_filter="src/%"), people.bus_factor(abc, path_filter="src/%")]
+    for df in plans:
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in text[text.index("Aggregate [file_id") :]
+
+
+def test_a_long_chain_and_a_far_component(spark):
+    """One file's cluster: a chain longer than the frontier's rounds, and none of the others."""
+    chain = [(i, i + 1, 9, 10, 10) for i in range(40)] + [(100, 101, 9, 10, 10), (40, 41, 1, 10, 10)]
+    files = spark.createDataFrame([(i, f"f{i:03d}") for i in range(110)], "file_id long, path string")
+    edges = spark.createDataFrame(chain, "file_a_id long, file_b_id long, co_changes int, total_changes_a int, total_changes_b int")
+    m = RepoModel(None, files, None, None, edges)
+    assert coupling.cluster_of_file(m, "f020").first().files == [f"f{i:03d}" for i in range(41)]
+    assert coupling.cluster_of_file(m, "f100").first().files == ["f100", "f101"] and coupling.cluster_of_file(m, "f105").collect() == []
+
+
 def test_empty_repository(spark):
     m = history(spark, [{"paths": ["x"], "message": None}])
     empty = RepoModel(*(getattr(m, t).limit(0) for t in ("commits", "files", "file_changes", "file_metrics", "file_coupling")))

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import subprocess
@@ -57,6 +58,62 @@ def test_git_index_update_and_refresh(spark, tmp_path):
     assert {r.author_name for r in engine.model.commits.collect()} == {"Proper Name"}
 
 
+def test_an_index_is_there_again(spark, tmp_path):
+    """Built, dropped, opened again, brought up to date: the same as a full build."""
+    repo, at = tmp_path / "r", str(tmp_path / "index")
+    repo.mkdir()
+    git(repo, "init", "-q", "-b", "main")
+    commit(repo, 1704067200, "one", App="class X { void f() { if (a) b(); } }\n", **{"B.java": "class B { void f() { } }\n", "notes": "a\nb\n"})
+    commit(repo, 1704070800, "two", App="class X { }\n", **{"C.java": "class C { void f() { if (a) b(); } }\n"})
+    first = Engine(spark, repo=str(repo), now_ms=1_772_668_800_000, path=at)
+    assert first.call("get_summary").is_error
+    result = json.loads(first.call("refresh_index").text)
+    assert (result["status"], result["commitsProcessed"], result["filesIndexed"], result["errorMessage"]) == ("ok", 2, 2, None)
+    del first
+    commit(repo, 1704074400, "three", App="class X {\n}\n", **{"C.java": "class C { void f() { while (a) b(); if (c) d(); } }\n", "notes": None})
+    again = Engine(spark, repo=str(repo), now_ms=1_772_668_800_000, path=at)
+    assert json.loads(again.call("get_index_status").text)["status"] == "ready" and json.loads(again.call("get_summary").text)["totalCommits"] == 2
+    result = again.update_index()
+    assert (result["status"], result["commitsProcessed"], result["filesIndexed"]) == ("ok", 1, 1)
+    whole = Engine(spark, repo=str(repo), now_ms=1_772_668_800_000)
+    whole.refresh_index()
+    for t in ("commits", "files", "file_changes", "file_metrics", "file_coupling"):
+        assert sorted(map(tuple, getattr(again.model, t).collect()), key=str) == sorted(map(tuple, getattr(whole.model, t).collect()), key=str), t
+    # in the background, and after the branch was written anew
+    git(repo, "reset", "-q", "--hard", "HEAD~2")
+    commit(repo, 1704078000, "other", App="class Y {\n}\n")
+    third = Engine(spark, repo=str(repo), now_ms=1_772_668_800_000, path=at)
+    worker = third.start()
+    assert third.status.state in ("indexing", "ready")
+    worker.join()
+    assert third.status.as_dict()["status"] == "ready" and sorted(r.first_line for r in third.model.commits.collect()) == ["one", "other"]
+    # a failed build says so and is tried again
+    third.repo = str(tmp_path / "gone")
+    assert json.loads(third.call("refresh_index").text)["status"] == "error" and json.loads(third.call("get_index_status").text)["status"] == "error"
+
+
+def test_git_fields_may_hold_anything(spark, tmp_path):
+    """Record separators, tabs and figures in subjects and names; such and bytes that are no UTF-8 in paths."""
+    repo = tmp_path / "r"
+    repo.mkdir()
+    git(repo, "init", "-q", "-b", "main")
+    odd = "a\x1eb\x1fc\td"
+    commit(repo, 1704067200, f"ABC-7 {odd} :100644", **{"1\t2\tx": "1\n", odd: "1\n2\n"})
+    with open(os.path.join(os.fsencode(repo), b"na\xefve"), "wb") as f:
+        f.write(b"x\n")
+    (repo / "0123456789012345678901234567890123456789").write_text("h\n")
+    (repo / "Odd.java").write_bytes(b"class O { String s = \"\xff\xfe\"; void f() { if (a) b(); } }")
+    git(repo, "add", "-A")
+    git(repo, "-c", f"user.name=N {odd}", "commit", "-q", "--allow-empty-message", "-m", "", at=1704070800)
+    engine = Engine(spark, repo=str(repo), now_ms=1_772_668_800_000)
+    assert engine.refresh_index()["commitsProcessed"] == 2
+    rows = {r.path: (r.lines_added, r.first_line) for r in engine.model.file_changes.join(engine.model.files, "file_id").join(engine.model.commits, "commit_id").collect()}
+    subject = f"ABC-7 {odd} :100644"
+    assert rows == {"1\t2\tx": (1, subject), odd: (2, subject), "na\ufffdve": (1, ""), "0123456789012345678901234567890123456789": (1, ""), "Odd.java": (1, "")}
+    assert {r.path: r.cyclomatic_complexity for r in engine.model.file_metrics.join(engine.model.files, "file_id").collect()}["na\ufffdve"] == -1
+    assert engine.model.file_metrics.where("cyclomatic_complexity = 2").count() == 1
+
+
 def test_git_merges_and_deletions(spark, tmp_path):
     repo = tmp_path / "r"
     repo.mkdir()
@@ -98,6 +155,27 @@ def test_complexity(source, want):
     assert java_complexity(source)[1:] == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("class A { void f() { " + "if (a) b(); else " * 3000 + "c(); } }", (3001, 3001)),
+    ("class A { void f() { " + "if (a) { " * 2500 + "}" * 2500 + " } }", (2501, 2500 * 2501 // 2)),
+    ("class A { void f() { " + "{" * 30_000 + "}" * 30_000 + " } }", (1, 0)),
+    ("class A { void f() { x = " + "a -> { return " * 2000 + "1" + "; }" * 2000 + "; } }", (1, 0)),
+    ("class A { void f() { if (", (2, 1)),
+])
+def test_deep_nesting(source, want):
+    assert java_complexity(source)[1:] == want
+
+
+def test_a_file_that_fails_is_counted(spark, monkeypatch):
+    from chronolode.plans import complexity
+
+    failures = spark.sparkContext.accumulator(0)
+    rows = [("a.java", bytearray(b"class A { void f() { } }\n\n")), ("b.java", bytearray(b"\xff\n")), ("c.txt", bytearray(b"x\n\n")), ("d.bin", bytearray(b"\0")), ("e.java", bytearray(b"")), ("f", None)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = sorted(map(tuple, complexity.file_metrics(df, failures).collect()))
+    assert got == [("a.java", 1, 1, 0), ("b.java", 1, -1, -1), ("c.txt", 3, -1, -1), ("e.java", 0, -1, -1), ("f", 0, -1, -1)] and failures.value == 0
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
@@ -123,9 +201,21 @@ def test_increments_equal_a_full_build(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     full = sorted(map(tuple, build_coupling(df, df.select("commit_id", "is_merge").distinct(), 5).collect()))
     cuts = {c: rng.randrange(4) for c in range(60)}
-    index = IncrementalIndex(spark, str(tmp_path / "index"), 5)
     for k in range(4):
+        index = IncrementalIndex(spark, str(tmp_path / "index"), 5)  # opened anew each time
         part = spark.createDataFrame([r for r in rows if cuts[r[0]] == k], schema)
         index.absorb(part)
         index.absorb(part)  # a second time: nothing new
     assert sorted(map(tuple, index.coupling().collect())) == full and index.changes().count() == len(rows)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "commit_id long, is_merge boolean, file_id long, lines_added int, lines_deleted int"
+    rows = [(c, False, f, 1, 0) for c in range(6) for f in (c, c + 1, 9)]
+    for k in range(2):
+        spark.createDataFrame(rows[9 * k : 9 * k + 9], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        IncrementalIndex(spark, str(tmp_path / "index"), 5).run_available(str(tmp_path / "landing"), schema, str(tmp_path / "checkpoint"))
+    df = spark.createDataFrame(rows, schema)
+    full = sorted(map(tuple, build_coupling(df, df.select("commit_id", "is_merge").distinct(), 5).collect()))
+    index = IncrementalIndex(spark, str(tmp_path / "index"), 5)
+    assert sorted(map(tuple, index.coupling().collect())) == full and index.changes().count() == len(rows)

@@ -22,9 +22,45 @@ def test_lookup_of_few_and_many(spark):
 
 
 def test_versions(spark, tmp_path):
-    t = store.VersionedTable(spark, str(tmp_path / "t"), "k int, s string")
+    at, schema = str(tmp_path / "t"), "k int, s string"
+    open_ = lambda: store.VersionedTable(spark, at, schema)
+    t = open_()
     assert t.read().count() == 0
-    one = spark.createDataFrame([(1, "a")], "k int, s string")
+    one = spark.createDataFrame([(1, "a")], schema)
     old = t.append(one)
-    assert t.append_new(one, "k").count() == 1 and t.append(one).count() == 2 and t.upsert(one, "k").count() == 1
-    assert t.clear().count() == 0 and old.count() == 1
+    assert t.append_new(one, "k").count() == 1 and open_().read().count() == 1 and old.count() == 1
+    assert open_().append(one).count() == 2 and open_().upsert(one, "k").count() == 1
+    assert open_().clear().count() == 0 and open_().read().count() == 0 and rows(open_().append(one)) == [(1, "a")]
+
+
+def test_appends_write_their_rows_alone_and_old_versions_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_PARTS", 4)
+    t = store.VersionedTable(spark, str(tmp_path / "t"), "k int")
+    for k in range(7):
+        t.append(spark.createDataFrame([(k,)], "k int"))
+        assert len(t.log.content["parts"]) == (k + 1 if k < 4 else k - 3)
+    assert rows(t.read()) == [(k,) for k in range(7)]
+    folders = {p.name for p in (tmp_path / "t").iterdir()} - {"_versions"}
+    assert set(t.log.content["parts"]) <= folders and len(folders) <= 4 and len(list((tmp_path / "t" / "_versions").glob("*.json"))) == 2
+
+
+def test_an_unfinished_write_changes_nothing(spark, tmp_path):
+    t = store.VersionedTable(spark, str(tmp_path / "t"), "k int")
+    t.append(spark.createDataFrame([(1,)], "k int"))
+    bad = spark.range(3).selectExpr("cast(raise_error('x') as int) AS k")
+    for change in (t.append, t.replace):
+        try:
+            change(bad)
+            raise AssertionError
+        except Exception as e:
+            assert "x" in str(e)
+    assert rows(store.VersionedTable(spark, str(tmp_path / "t"), "k int").read()) == [(1,)]
+    # of two writers from one version the slower one fails
+    a, b = (store.VersionedTable(spark, str(tmp_path / "t"), "k int") for _ in range(2))
+    a.append(spark.createDataFrame([(2,)], "k int"))
+    try:
+        b.append(spark.createDataFrame([(3,)], "k int"))
+        raise AssertionError
+    except RuntimeError as e:
+        assert "another writer" in str(e)
+    assert rows(store.VersionedTable(spark, str(tmp_path / "t"), "k int").read()) == [(1,), (2,)]
