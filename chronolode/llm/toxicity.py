@@ -10,7 +10,7 @@ Labels are learned from at most ``MAX_TOXIC`` and ``MAX_CLEAN`` training rows, t
 the intercept is then set to the odds of all training rows, and the character counts cover every document.
 
 Defined results: a null text is an empty one and scores as the base rate does. A null label is no label; where a doc_id has
-several, the largest holds. Without training rows of both labels every score is the share of label 1 (0 without any).
+several, the largest holds, and where it has several texts the least one is learned from. Without training rows of both labels every score is the share of label 1 (0 without any).
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ class Restorer:
         if len(self.memo) > 300_000:
             self.memo = {}
         text = text.lower()
-        plain = set(text.split())
+        plain = set(text.split())  # a token as it stands is one of its readings: a sign at its end may be just that
         return plain.union(restored(text, self.model, self.memo, READINGS).split())
 
 
@@ -239,8 +239,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held)
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     first = lambda y, n: labels.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    # at most MAX_TOXIC + MAX_CLEAN rows of two numbers: small enough to send whole
-    taught = cut_lineage(docs.join(F.broadcast(first(1, MAX_TOXIC).union(first(0, MAX_CLEAN))), "doc_id").select("text", "y"))
+    # at most MAX_TOXIC + MAX_CLEAN rows of two numbers: small enough to send whole; of an id's texts the least is learned from
+    taught = docs.join(F.broadcast(first(1, MAX_TOXIC).union(first(0, MAX_CLEAN))), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    taught = cut_lineage(taught.select("text", "y"))
     n = {int(r["y"]): r["n"] for r in taught.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         features, weights = [], np.array([700.0 if 1 in n else -700.0])

@@ -89,3 +89,13 @@ def test_capped_labels_keep_the_odds(spark, tmp_path, monkeypatch):
     assert abs(score() - 0.1) < 0.03
     monkeypatch.setattr(op, "MAX_CLEAN", 300)
     assert abs(score() - 0.1) < 0.03
+
+
+def test_a_repeated_id_is_learned_once(spark, tmp_path):
+    """A labelled id that a third of the rows share is one training row, and every row is scored."""
+    texts = {i: ("you idiot moron" if i % 3 == 0 else "a fine day") + f" word{i % 7}" for i in range(60)}
+    rows = [(i, t) for i, t in texts.items()] + [(5, "a fine day too")] * 40 + [(None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = op.op3_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 101 and all(r.predicted == int(r.doc_id is not None and r.doc_id % 3 == 0) for r in got)
