@@ -201,8 +201,47 @@ def _join_within(groups: np.ndarray, prints: np.ndarray, radius: int, label: np.
     return label
 
 
+def stars(label: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows grouped by ``label``: each group's least node, as row by row, and the rows of other nodes."""
+    order = np.lexsort((node, label))
+    first = order[np.r_[True, label[order][1:] != label[order][:-1]]] if len(order) else order
+    least = np.empty(len(label), node.dtype)
+    least[order] = np.repeat(node[first], np.diff(np.r_[np.searchsorted(label[order], label[first]), len(order)]))
+    return least, np.flatnonzero(least != node)
+
+
+def task_links(group: np.ndarray, part: np.ndarray, node: np.ndarray, prints: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """src, dst: what joins the linked rows of each group of one or two parts.
+
+    Rows of one part are joined first. A group of one part gives its stars, each row with the least node of its component; a group of two gives only what
+    joins such components across, by their least nodes, for each part's stars come from its own group. So a dense bucket gives about
+    as many links as it has rows, however many pairs of parts it is dealt into.
+    """
+    label, left, right = np.arange(len(group)), [], []
+    within = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])])
+    for radius in radii:
+        label = _join_within(within, prints, radius, label, left, right)
+    least, others = stars(label, node)
+    ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
+    starts = np.r_[0, ends[:-1] + 1]
+    both = np.repeat(part[starts] != part[ends], ends - starts + 1)
+    src, dst = [least[others[~both[others]]]], [node[others[~both[others]]]]
+    if both.any():
+        at = np.flatnonzero(both)
+        left, right = [], []
+        known = np.unique(label[at], return_inverse=True)[1].ravel()  # labels as rows of the part looked at: each group's first row
+        first = np.full(known.max() + 1, len(at))
+        np.minimum.at(first, known, np.arange(len(at)))
+        across = first[known]
+        for radius in radii:
+            across = _join_within(group[at], prints[at], radius, across, left, right)
+        src.append(least[at[np.array(left, np.int64)]])
+        dst.append(least[at[np.array(right, np.int64)]])
+    return np.concatenate(src), np.concatenate(dst)
+
+
 def bucket_links(buckets: DataFrame, words: int, radii: tuple[int, ...], chunk: int = CHUNK, n_rows: int | None = None) -> DataFrame:
-    """src, dst: links within the last of ``radii`` between rows of one bucket, nearer ones first.
+    """src, dst: what joins the rows of a bucket that are linked within the last of ``radii``; the components are those of the links.
 
     ``buckets``: key (long), node (long), fp0.. , ``n_rows`` of them if that is known. Buckets of one row drop out. A bucket of over ``chunk``
     rows is dealt by hash into parts, and each unordered pair of parts becomes a group for one task.
@@ -227,8 +266,8 @@ def bucket_links(buckets: DataFrame, words: int, radii: tuple[int, ...], chunk:
             node = table.column("node").to_numpy()
             new = np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
             fps = np.stack([table.column(c).to_numpy() for c in prints], axis=1)
-            a, b = links_within(np.cumsum(new), fps, *radii)
-            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["src", "dst"])
+            src, dst = task_links(np.cumsum(new), part, node, fps, radii)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
         for batch in batches:
             if not len(batch):
@@ -355,7 +394,11 @@ def alike(groups: DataFrame, texts: DataFrame, size: int, similarity: float, chu
             for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
                 a, b = verified_links([np.frombuffer(t, np.uint64) for t in table.column("shingles").slice(at, end - at).to_pylist()], similarity)
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at:end][x], pa.int64()) for x in (a, b)], names=["src", "dst"])
+                    label = np.arange(end - at)
+                    for x, y in zip(a, b):  # x is in a group already, or begins one
+                        label[y] = label[x]
+                    least, others = stars(label, node[at:end])
+                    yield pa.RecordBatch.from_arrays([pa.array(least[others], pa.int64()), pa.array(node[at:end][others], pa.int64())], names=["src", "dst"])
 
         for batch in batches:
             if not len(batch):
