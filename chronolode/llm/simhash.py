@@ -26,8 +26,9 @@ from chronolode.llm.tables import read
 from chronolode.plans.graph import connected_components
 from chronolode.session import cut_lineage
 
-#: Near-copy grouping: 64-bit words of a fingerprint, radii taken in turn, blocking keys, and the exact similarity of a link.
-WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (24, 34, 44, 56, 66), 20, 3, 0.8
+#: Near-copy grouping: 64-bit words of a fingerprint, the radius, blocking keys, and the exact similarity of a link. One radius does: nearer
+#: ones taken before it leave the same components, and each of them costs a pass over all shifts.
+WORDS, RADII, BANDS, ROWS, SIMILARITY = 4, (66,), 20, 3, 0.8
 #: Texts of fewer distinct shingles have no telling fingerprint, so the radius does not apply to them.
 SHORT = 20
 CHUNK = 1024  # rows of a bucket that one side of a task holds, on average
@@ -432,7 +433,7 @@ def near_copies(docs: DataFrame, size: int = 5, radii: tuple[int, ...] = RADII,
     """doc_id, component_id: documents grouped whose texts are equal or share ``similarity`` of their ``size``-word shingles.
 
     Similarity shows as differing bits of a 256-bit fingerprint of the distinct shingles: at 0.8, texts differ in 15 % of the bits, 39 on average; the
-    last radius of 66 is four to five standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
+    radius of 66 is four to five standard deviations further. Documents meet in blocks by minima of their shingle hashes. Near
     pairs of all blocks make components, which only say which documents may be alike; within each of them documents are
     compared exactly, in blocks of texts under ``SHORT`` shingles all are near, and a group holds nothing but exact links. Equal texts are one node, so copies cost one row. An id with
     several texts is one document, with the links of all of them. Rows with a null id are left out.
