@@ -27,8 +27,9 @@ def pair_ratios(model: RepoModel, since_ms: int | None, smaller: bool) -> DataFr
 
 
 def _with_paths(pairs: DataFrame, model: RepoModel) -> DataFrame:
-    a = model.files.select(F.col("file_id").alias("file_a_id"), F.col("path").alias("fileA"))
-    b = model.files.select(F.col("file_id").alias("file_b_id"), F.col("path").alias("fileB"))
+    # files are as many as the repository has, and much wider in memory than stored: merged, not held by the driver for a broadcast
+    a = model.files.select(F.col("file_id").alias("file_a_id"), F.col("path").alias("fileA")).hint("merge")
+    b = model.files.select(F.col("file_id").alias("file_b_id"), F.col("path").alias("fileB")).hint("merge")
     return pairs.join(a, "file_a_id").join(b, "file_b_id")
 
 
@@ -145,14 +146,23 @@ def cluster_of_file(model: RepoModel, file_path: str, min_coupling: float = 0.3,
     return found if max_size is None else found.where(F.size("files") <= max_size)
 
 
-def cluster_of_file_edges(model: RepoModel, file_path: str, min_coupling: float = 0.3, since_ms: int | None = None) -> DataFrame:
-    pairs = pair_ratios(model, since_ms, smaller=False)
-    strong = pairs.where(F.col("r") >= min_coupling)
+def cluster_of_file_edges(model: RepoModel, file_path: str, min_coupling: float = 0.3, since_ms: int | None = None, strong: DataFrame | None = None) -> DataFrame:
+    """The named edges of that cluster. ``strong``: what ``strong_since`` has found, where that is at hand."""
+    if since_ms is None:
+        pairs = pair_ratios(model, None, smaller=False)
+        strong = pairs.where(F.col("r") >= min_coupling)
+    elif strong is None:
+        strong = strong_since(model, min_coupling, since_ms)
     mine = reachable(strong, model.files.where(F.col("path") == file_path).select(F.col("file_id").alias("node")))
     inside = (pairs if since_ms is None else strong).join(mine.withColumnRenamed("node", "file_a_id"), "file_a_id", "left_semi").join(mine.withColumnRenamed("node", "file_b_id"), "file_b_id", "left_semi")
     return _named_edges(inside, model)
 
 
+def strong_since(model: RepoModel, min_coupling: float, since_ms: int) -> DataFrame:
+    """Recent pairs of ratio (over the larger total) at least ``min_coupling``, kept, as they are counted from the changes."""
+    return cut_lineage(pair_ratios(model, since_ms, smaller=False).where(F.col("r") >= min_coupling))
+
+
 def reachable(edges: DataFrame, seed: DataFrame, rounds: int = 30) -> DataFrame:
     """node: the nodes of ``edges`` in the component of the one in ``seed``; none where no edge has it.
 

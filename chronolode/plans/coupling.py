@@ -28,17 +28,22 @@ def pair_counts(file_changes: DataFrame, commits: DataFrame, max_paths: int = MA
     return pairs.groupBy("file_a_id", "file_b_id").agg(F.count(F.lit(1)).cast("int").alias("co_changes"))
 
 
-def with_totals(pairs: DataFrame, file_changes: DataFrame) -> DataFrame:
+def with_totals(pairs: DataFrame, file_changes: DataFrame, *join_hint: str) -> DataFrame:
     totals = file_changes.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     a = totals.select(F.col("file_id").alias("file_a_id"), F.col("n").alias("ta"))
     b = totals.select(F.col("file_id").alias("file_b_id"), F.col("n").alias("tb"))
+    for hint in join_hint:
+        a, b = a.hint(hint), b.hint(hint)
     joined = pairs.join(a, "file_a_id", "left").join(b, "file_b_id", "left")
     return joined.select("file_a_id", "file_b_id", "co_changes", F.coalesce("ta", F.lit(0)).alias("total_changes_a"), F.coalesce("tb", F.lit(0)).alias("total_changes_b"))
 
 
 def coupling_since(file_changes: DataFrame, commits: DataFrame, since_ms: int) -> DataFrame:
-    """The same columns from all commits since ``since_ms``, merges and bulk commits too; totals are distinct commits."""
+    """The same columns from all commits since ``since_ms``, merges and bulk commits too; totals are distinct commits.
+
+    Totals have a row for every file, so the driver is not to collect them for a broadcast.
+    """
     recent = file_changes.join(commits.where(F.col("author_date") >= since_ms).select("commit_id"), "commit_id", "left_semi").select("commit_id", "file_id").distinct()
     a, b = recent.withColumnRenamed("file_id", "file_a_id"), recent.withColumnRenamed("file_id", "file_b_id")
     pairs = a.join(b, "commit_id").where("file_a_id < file_b_id").groupBy("file_a_id", "file_b_id").agg(F.count(F.lit(1)).cast("int").alias("co_changes"))
-    return with_totals(pairs, recent)
+    return with_totals(pairs, recent, "shuffle_hash")

@@ -85,10 +85,11 @@ def q_cluster_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_cluster_file_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of a file of the strongest recent pair."""
-    m = stored_coupling(spark, sf_dir)
-    top = coupling.pair_ratios(m, SINCE_MS, smaller=False).orderBy(F.desc("r"), "file_a_id", "file_b_id").limit(1)
+    m = model(spark, sf_dir)
+    strong = coupling.strong_since(m, 0.2, SINCE_MS)  # the strongest of all pairs is here, or none has a cluster
+    top = strong.orderBy(F.desc("r"), "file_a_id", "file_b_id").limit(1)
     seed = top.join(m.files, F.col("file_id") == F.col("file_a_id")).first()
-    return coupling.cluster_of_file_edges(m, seed["path"] if seed else "-", 0.2, since_ms=SINCE_MS).select("fileA", "fileB", "coChanges", "couplingRatio")
+    return coupling.cluster_of_file_edges(m, seed["path"] if seed else "-", 0.2, SINCE_MS, strong).select("fileA", "fileB", "coChanges", "couplingRatio")
 
 
 def q_file_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
