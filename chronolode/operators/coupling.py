@@ -80,23 +80,29 @@ def _named_edges(edges: DataFrame, model: RepoModel) -> DataFrame:
     )
 
 
-def cluster_edges(model: RepoModel, min_coupling: float, since_ms: int | None = None) -> DataFrame:
-    """Edges of ratio (over the larger total) at least ``min_coupling``; an error at ``EDGE_CAP`` of them or more."""
-    edges = pair_ratios(model, since_ms, smaller=False).where(F.col("r") >= min_coupling).limit(EDGE_CAP).cache()
+def cluster_edges(model: RepoModel, min_coupling: float, since_ms: int | None = None, capped: bool = True) -> DataFrame:
+    """Edges of ratio (over the larger total) at least ``min_coupling``; where ``capped``, an error at ``EDGE_CAP`` of them or more."""
+    strong = pair_ratios(model, since_ms, smaller=False).where(F.col("r") >= min_coupling)
+    if not capped:
+        return cut_lineage(strong)
+    edges = strong.limit(EDGE_CAP).cache()
     if edges.count() == EDGE_CAP:
         raise EdgeCapReached("Edge cap reached (10 000 edges). Increase minCoupling to reduce graph size.")
     return edges
 
 
-def labelled_edges(model: RepoModel, min_coupling: float, since_ms: int | None = None) -> DataFrame:
-    """Named edges with ``cluster``, the smallest file id of the component. The cap bounds what is joined here."""
-    edges = cluster_edges(model, min_coupling, since_ms)
+def labelled_edges(model: RepoModel, min_coupling: float, since_ms: int | None = None, capped: bool = True) -> DataFrame:
+    """Named edges with ``cluster``, the smallest file id of the component."""
+    edges = cluster_edges(model, min_coupling, since_ms, capped)
     labels = component_labels(edges)
     return _named_edges(edges, model).join(labels.select(F.col("node").alias("file_a_id"), F.col("component").alias("cluster")), "file_a_id")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
-    """node, component of fewer than ``EDGE_CAP`` edges, by union-find on the driver: the cap bounds them."""
+    """node, component: by union-find on the driver for fewer than ``EDGE_CAP`` edges, distributed for more."""
+    pairs = edges.select("file_a_id", "file_b_id").limit(EDGE_CAP).collect()
+    if len(pairs) == EDGE_CAP:
+        return connected_components(edges, "file_a_id", "file_b_id")
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -105,7 +111,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
             x = parent[x]
         return x
 
-    for a, b in edges.select("file_a_id", "file_b_id").limit(EDGE_CAP).collect():
+    for a, b in pairs:
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
@@ -113,10 +119,11 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
 
 def coupling_clusters(
-    model: RepoModel, min_coupling: float = 0.3, min_size: int = 3, max_size: int | None = None, path_filter: str | None = None, top_n: int = 20, since_ms: int | None = None
-) -> DataFrame:
-    """clusterIndex, files, edges, avgCoupling: the components by mean ratio."""
-    edges = labelled_edges(model, min_coupling, since_ms)
+    model: RepoModel, min_coupling: float = 0.3, min_size: int = 3, max_size: int | None = None, path_filter: str | None = None, top_n: int = 20, since_ms: int | None = None,
+    capped: bool = True,
+) -> DataFrame:
+    """clusterIndex, files, edges, avgCoupling: the components by mean ratio. ``capped``: the request's error at ``EDGE_CAP`` edges."""
+    edges = labelled_edges(model, min_coupling, since_ms, capped)
     clusters = _clusters(edges, "cluster").where(F.size("files") >= min_size)
     if max_size is not None:
         clusters = clusters.where(F.size("files") <= max_size)

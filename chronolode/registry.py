@@ -30,7 +30,7 @@ def seed_path(m, smaller: bool) -> str:
         ends = pairs.select(F.col("file_a_id").alias("file_id")).unionAll(pairs.select("file_b_id"))
         best = ends.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     else:
-        labels = coupling.component_labels(coupling.cluster_edges(m, 0.07))
+        labels = coupling.component_labels(coupling.cluster_edges(m, 0.07, capped=False))
         best = labels.groupBy(F.col("component").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
     top = best.orderBy(F.desc("n"), "file_id").limit(1).join(m.files, "file_id").first()
     return top["path"] if top else "-"
@@ -61,7 +61,7 @@ def q_file_history_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = coupling.labelled_edges(stored_coupling(spark, sf_dir), 0.07)
+    edges = coupling.labelled_edges(stored_coupling(spark, sf_dir), 0.07, capped=False)
     ends = edges.select("cluster", F.col("fileA").alias("path")).union(edges.select("cluster", F.col("fileB").alias("path")))
     return ends.distinct()
 
@@ -71,11 +71,11 @@ def flat_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def q_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_clusters(coupling.coupling_clusters(stored_coupling(spark, sf_dir), 0.07, min_size=3, max_size=150, path_filter="src/%", top_n=20))
+    return flat_clusters(coupling.coupling_clusters(stored_coupling(spark, sf_dir), 0.07, min_size=3, max_size=150, path_filter="src/%", top_n=20, capped=False))
 
 
 def q_cluster_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_clusters(coupling.coupling_clusters(model(spark, sf_dir), 0.25, min_size=2, top_n=50, since_ms=SINCE_MS))
+    return flat_clusters(coupling.coupling_clusters(model(spark, sf_dir), 0.25, min_size=2, top_n=50, since_ms=SINCE_MS, capped=False))
 
 
 def q_cluster_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def q_incremental_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of each cluster in their order."""
-    clusters = coupling.coupling_clusters(stored_coupling(spark, sf_dir), 0.07, min_size=3, max_size=150, top_n=20)
+    clusters = coupling.coupling_clusters(stored_coupling(spark, sf_dir), 0.07, min_size=3, max_size=150, top_n=20, capped=False)
     return clusters.select("clusterIndex", F.posexplode("edges").alias("place", "e")).select("clusterIndex", "place", "e.*")
 
 

@@ -22,3 +22,22 @@ def test_recent_cluster_is_counted_once_without_broadcasts_of_files(spark, monke
     monkeypatch.setattr(coupling, "coupling_since", lambda *a: counted.append(1) or count(*a))
     registry.q_cluster_file_since(spark, SF).collect()
     assert len(counted) == 1
+
+
+def test_queries_have_no_cap_of_edges(spark, monkeypatch):
+    """The cap belongs to the request; the queries, as their SQL, take all edges, beyond it by the distributed loop."""
+    run = lambda q: sorted(map(tuple, q(spark, SF).collect()))
+    queries = registry.q_cluster_since, registry.q_cluster_members
+    want = [run(q) for q in queries]
+    assert all(len(w) > 2 for w in want)
+    monkeypatch.setattr(coupling, "EDGE_CAP", 2)
+    assert [run(q) for q in queries] == want
+
+
+def test_clusters_beyond_the_cap(spark):
+    """12 720 edges: 160 files that all meet, and a pair apart."""
+    ids = spark.range(160)
+    pairs = ids.selectExpr("id AS file_a_id").crossJoin(ids.selectExpr("id AS file_b_id")).where("file_a_id < file_b_id").union(spark.createDataFrame([(200, 201)], "file_a_id long, file_b_id long"))
+    m = RepoModel(None, spark.range(300).selectExpr("id AS file_id", "cast(id AS string) AS path"), None, None, pairs.selectExpr("*", "1 AS co_changes", "1 AS total_changes_a", "1 AS total_changes_b"))
+    got = coupling.coupling_clusters(m, min_size=2, capped=False).collect()
+    assert [(len(r.files), len(r.edges), r.avgCoupling) for r in got] == [(160, 12_720, 1.0), (2, 1, 1.0)]
