@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product: forests of random-projection trees.
 
 Copies of a vector are one point, with its smallest ids. A trunk, one random-projection tree fitted on a sample of at most
-``SAMPLE_FLOATS`` numbers, sends every point to one cell and every query to the ``PROBES`` cells that lie nearest in the trunk's own
-queue, so a query's work is bounded however many rows there are. A cell's rows are indexed by a forest grown on all of
-them. All trees' leaves form one priority queue, ordered by the squared distances between the query and the hyperplanes that part
+``SAMPLE_FLOATS`` numbers, sends every point to one cell and every query to the cells that lie nearest in the trunk's own
+queue: all of up to ``PROBES`` cells. Of more, how many is measured on the table itself: at most ``CALIBRATED`` of its queries meet all points by brute force, and
+queries visit as many cells as hold ``COVERED`` of what these find. Vectors with structure need few cells, random ones nearly all,
+so their work grows with queries times rows. A cell's rows are indexed by a forest grown on all of them. All trees' leaves form one priority queue, ordered by the squared distances between the query and the hyperplanes that part
 it from the leaf; the first ``DRAINED`` of the queue are drained, each giving its points a vote that weighs more the
 nearer the leaf is. The points with most votes, ``SCORED`` times the square root of the cell's points, are the leaf candidates, which are ranked
 exactly, with correctly rounded sums. The best of a query's cells are merged.
@@ -35,6 +36,7 @@ from chronolode.session import cut_lineage
 
 TREES, LEAF, DRAINED, SCORED, STEP = 56, 32, 0.5, 4.4, 32
 SAMPLE_FLOATS, SAMPLE_EACH, CELL_FLOATS, QUERY_FLOATS, PROBES = 1 << 22, 16, 1 << 20, 1 << 22, 8
+CALIBRATED, COVERED = 128, 0.97
 
 
 class Tree(NamedTuple):
@@ -160,7 +162,8 @@ def fit_trunks(points: DataFrame) -> tuple[dict[int, Trunk], DataFrame]:
     """A trunk for each length that has more rows than fit a cell, and the number of rows by length.
 
     A trunk is fitted on the rows of smallest hash, at most ``SAMPLE_FLOATS`` numbers; only lengths with that many rows have one, and
-    those by falling number of rows while the samples together keep to that bound. Others have one cell, dealt into blocks.
+    those by falling number of rows while the samples together keep to that bound. Others have one cell, dealt into blocks that every
+    query visits: the bounds are on the fit, no row and no length is left out of the search.
     """
     sizes = cut_lineage(points.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("square")), 1)
     large = sizes.where(F.col("n") * F.col("dim") > CELL_FLOATS).orderBy(F.desc("n"), "dim").limit(64).collect()
@@ -183,36 +186,93 @@ def fit_trunks(points: DataFrame) -> tuple[dict[int, Trunk], DataFrame]:
     return trunks, sizes
 
 
-def in_cells(rows: DataFrame, trunks: dict[int, Trunk], key: str, probes: int) -> DataFrame:
-    """``rows`` (dim, v, and the column ``key``) with the ``probes`` nearest cells of each: a row a cell."""
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+def in_cells(points: DataFrame, trunks: dict[int, Trunk]) -> DataFrame:
+    """``points`` (dim, h, v, owners) with the ``cell`` of each."""
+    fields = {f.name: f.dataType.simpleString() for f in points.schema}
+    names = ["dim", "h", "v", "owners"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            take, cells = [], []
+            cells = np.zeros(len(dims), np.int32)
             for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                trunk = trunks.get(dim)
-                if trunk is None:
-                    take.append(mine)
-                    cells.append(np.zeros(len(mine), np.int64))
-                    continue
-                v = matrix(batch.column("v").take(pa.array(mine)), len(mine)).astype(np.float64)
-                if probes == 1:
-                    take.append(mine)
-                    cells.append(trunk.tree.leaves(lifted(v, trunk.largest)))
-                else:
-                    far = trunk.tree.distances(aimed(v, trunk.largest))
-                    near = np.argpartition(far, min(probes, far.shape[1]) - 1, axis=1)[:, :probes]
-                    take.append(np.repeat(mine, near.shape[1]))
-                    cells.append(near.ravel())
-            at = np.concatenate(take) if take else np.empty(0, np.int64)
-            columns = [batch.column(c).take(pa.array(at)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(cells) if cells else at, pa.int32())], names=[*names, "cell"])
-
-    names = ["dim", key, "v"] + (["owners"] if "owners" in fields else [])
-    return rows.select(*names).mapInArrow(run, ", ".join(f"{n} {fields[n]}" for n in names) + ", cell int")
+                trunk, mine = trunks.get(dim), np.flatnonzero(dims == dim)
+                if trunk is not None:
+                    v = matrix(batch.column("v").take(pa.array(mine)), len(mine)).astype(np.float64)
+                    cells[mine] = trunk.tree.leaves(lifted(v, trunk.largest))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cells)], names=[*names, "cell"])
+
+    return points.select(*names).mapInArrow(run, ", ".join(f"{n} {fields[n]}" for n in names) + ", cell int")
+
+
+def visits(queries: DataFrame, trunks: dict[int, Trunk], probes: dict[int, int]) -> DataFrame:
+    """``queries`` (dim, query_key, v) with ``cells``, the ``probes`` nearest cells of each: a list, so that vectors are stored once."""
+    fields = {f.name: f.dataType.simpleString() for f in queries.schema}
+    names = ["dim", "query_key", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                trunk, mine = trunks.get(dim), np.flatnonzero(dims == dim)
+                step = max(1, (1 << 22) >> len(trunk.tree.thresholds)) if trunk else len(mine)
+                for at in range(0, len(mine), step):
+                    some = batch.take(pa.array(mine[at : at + step]))
+                    near = np.zeros((len(some), 1), np.int64)
+                    if trunk is not None:
+                        far = trunk.tree.distances(aimed(matrix(some.column("v"), len(some)).astype(np.float64), trunk.largest))
+                        n = min(probes[dim], far.shape[1])
+                        near = np.argpartition(far, n - 1, axis=1)[:, :n]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), lists], names=[*names, "cells"])
+
+    return queries.select(*names).mapInArrow(run, ", ".join(f"{n} {fields[n]}" for n in names) + ", cells array<int>")
+
+
+def calibrated(placed: DataFrame, queries: DataFrame, trunks: dict[int, Trunk], k: int) -> dict[int, int]:
+    """How many cells a query visits, by length: the fewest, ``PROBES`` at least, that hold ``COVERED`` of the true neighbours of sampled queries.
+
+    Queries of smallest hash are the sample; what they find is the ``k`` nearest points but their own, in one pass over all points.
+    """
+    probes = dict.fromkeys(trunks, PROBES)
+    sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim, trunk in trunks.items():
+        if 1 << len(trunk.tree.thresholds) > PROBES:
+            some = queries.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(11), "h"), "query_key").limit(CALIBRATED).select("h", "v").toArrow()
+            if len(some):
+                sample[dim] = some.column("h").to_numpy(), matrix(some.column("v"), len(some)).astype(np.float64)
+    if not sample:
+        return probes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: (np.full((len(h), k), -np.inf), np.zeros((len(h), k), np.int32)) for dim, (h, _) in sample.items()}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in sample.keys() & set(np.unique(dims).tolist()):
+                some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                own, asked = sample[dim]
+                products = asked @ matrix(some.column("v"), len(some)).astype(np.float64).T
+                products[own[:, None] == some.column("h").to_numpy()] = -np.inf
+                scores = np.c_[best[dim][0], products]
+                cells = np.c_[best[dim][1], np.broadcast_to(some.column("cell").to_numpy(), products.shape)]
+                keep = np.argpartition(scores, -k, axis=1)[:, -k:]
+                best[dim] = np.take_along_axis(scores, keep, axis=1), np.take_along_axis(cells, keep, axis=1)
+        for dim, (scores, cells) in best.items():
+            at, place = np.nonzero(scores > -np.inf)
+            columns = [pa.array(np.full(len(at), dim), pa.int32()), pa.array(at, pa.int32()), pa.array(scores[at, place]), pa.array(cells[at, place])]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "at", "score", "cell"])
+
+    found = placed.select("dim", "h", "v", "cell").mapInArrow(run, "dim int, at int, score double, cell int")
+    place = F.row_number().over(Window.partitionBy("dim", "at").orderBy(F.desc("score"), "cell"))
+    true = found.withColumn("place", place).where(F.col("place") <= k).select("dim", "at", "cell").toArrow()
+    dims, at, cell = (true.column(c).to_numpy() for c in ("dim", "at", "cell"))
+    for dim, (_, asked) in sample.items():
+        mine = dims == dim
+        if mine.any():
+            far = trunks[dim].tree.distances(aimed(asked, trunks[dim].largest))
+            needed = np.array([(far[q] <= far[q, c]).sum() for q, c in zip(at[mine], cell[mine])])
+            probes[dim] = max(PROBES, int(np.quantile(needed, COVERED, method="higher")))
+    return probes
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -233,7 +293,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     distinct = cut_lineage(asked.groupBy("h", "v", "dim").agg(F.min("query_id").alias("query_key")))
 
     trunks, sizes = fit_trunks(points)
-    placed, aimed_at = cut_lineage(in_cells(points, trunks, "h", 1)), cut_lineage(in_cells(distinct, trunks, "query_key", PROBES))
+    placed = cut_lineage(in_cells(points, trunks))
+    visited = cut_lineage(visits(distinct, trunks, calibrated(placed, distinct, trunks, k)))
+    aimed_at = visited.select("dim", "query_key", "v", F.explode("cells").alias("cell"))
     keys = ["dim", "cell"]
     n_blocks = F.ceil(F.count(F.lit(1)) * F.col("dim") / CELL_FLOATS / 2).cast("int")  # cells of a sampled tree are uneven
     n_parts = F.ceil(F.count(F.lit(1)) * F.col("dim") / QUERY_FLOATS).cast("int")

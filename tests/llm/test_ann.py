@@ -119,3 +119,22 @@ def test_repeated_rows_and_ids(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert op.nearest(df, df.limit(0)).count() == 0 and op.nearest(df.limit(0), df).count() == 0
+
+
+def test_recall_with_more_cells_than_probes(spark, monkeypatch):
+    """Vectors without structure over 32 cells: as many are visited as hold the neighbours; around centres few are."""
+    monkeypatch.setattr(op, "CELL_FLOATS", 1 << 12)
+    probes, calibrate = [], op.calibrated
+    monkeypatch.setattr(op, "calibrated", lambda *a: probes.append(calibrate(*a)) or probes[-1])
+    rng = np.random.default_rng(6)
+    noise = rng.standard_normal((8000, 16)).astype(np.float32)
+    centres = rng.standard_normal((32, 16)) * 20
+    for vectors in (noise, (centres[rng.integers(0, 32, 8000)] + noise).astype(np.float32)):
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(8000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 16).cast(pa.list_(pa.float32()))}))
+        want = brute(np.arange(8000), vectors, range(0, 8000, 100), 20)
+        got = {}
+        for r in op.nearest(df, df.where("vec_id % 100 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & {v for _, v in w}) / 20 for q, w in want.items()]) >= 0.9
+    assert probes[0][16] > probes[1][16] >= op.PROBES
