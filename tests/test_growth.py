@@ -4,6 +4,7 @@ from conftest import SF
 
 from chronolode import registry
 from chronolode.operators import coupling
+from chronolode.plans.graph import connected_components
 from chronolode.plans.model import RepoModel
 
 EDGE = "file_a_id long, file_b_id long, co_changes int, total_changes_a int, total_changes_b int"
@@ -41,3 +42,11 @@ def test_clusters_beyond_the_cap(spark):
     m = RepoModel(None, spark.range(300).selectExpr("id AS file_id", "cast(id AS string) AS path"), None, None, pairs.selectExpr("*", "1 AS co_changes", "1 AS total_changes_a", "1 AS total_changes_b"))
     got = coupling.coupling_clusters(m, min_size=2, capped=False).collect()
     assert [(len(r.files), len(r.edges), r.avgCoupling) for r in got] == [(160, 12_720, 1.0), (2, 1, 1.0)]
+
+
+def test_rounds_do_not_multiply_size_estimates(spark):
+    """A chain of mixed numbers takes several rounds; the driver's estimate of its labels stays a number of ordinary length."""
+    chain = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)]
+    labels = connected_components(spark.createDataFrame(chain, "src long, dst long"))
+    assert {tuple(r) for r in labels.collect()} == {(i, 0) for i in range(101)}
+    assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 60
